@@ -56,7 +56,8 @@ def shares(totals: DataFrame, frame: int, weights: dict[str, float] | None, temp
     raw = raw.withColumn("rank", F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())) - 1)
     n = F.count("*").over(every)
     # one slot for each, the others in proportion
-    exact = raw.withColumn("ideal", F.col("w") / F.sum("w").over(every) * (F.lit(frame) - n))
+    fits = F.when(n <= frame, F.lit(frame) - n).otherwise(F.raise_error(F.lit("more sources than slots in a frame")).cast("long"))
+    exact = raw.withColumn("ideal", F.col("w") / F.sum("w").over(every) * fits)
     floor = exact.withColumn("whole", F.floor("ideal").cast("int"))
     left = F.lit(frame) - n - F.sum("whole").over(every)
     order = F.row_number().over(every.orderBy(F.round(F.col("whole") - F.col("ideal"), 9), "rank"))
@@ -93,8 +94,6 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     blocks = F.greatest(F.lit(1), F.ceil(F.col("units") / block_units)).cast("long")
     share = share.withColumn("blocks", blocks)
     share = share.withColumn("frames", F.max(F.ceil(F.col("blocks") / F.col("share"))).over(Window.partitionBy(F.lit(0))).cast("long"))
-    share = share.withColumn("slots", F.sum("share").over(Window.partitionBy(F.lit(0))))
-    share = share.withColumn("fits", F.assert_true(F.col("slots") == frame, F.lit("more sources than slots in a frame")))
     share = written(share, "shares", spark)
     slots = written(pattern(share.select("rank", "share")), "pattern", spark)
     inner = F.coalesce(F.sum("units").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jpeg import media_digests
+from .katz import language_model_scores
 from .minhash import near_duplicates
 from .nbsvm import quality_scores
 from .pfair import mixed
@@ -28,6 +29,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"), at_least=0)
 
@@ -52,5 +57,5 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op3_warc, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op10_jpeg)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op10_jpeg)}
 ORACLE_SQL: dict[str, str] = {}
