@@ -5,7 +5,7 @@ Features are indicators of n-grams: word unigrams and bigrams, hashed into WORDS
 ratio, each document by the root of its number of indicators, and a linear hinge-loss model is fitted by dual coordinate
 descent. The score is a logistic function of the margin, fitted on the same rows.
 
-Fitting uses at most PER_CLASS labelled rows of each class (those with the smallest hash of doc_id), so its cost doesn't
+Fitting uses about PER_CLASS labelled rows of each class, twice as many at most (those with the lowest hashes of doc_id), so its cost doesn't
 grow. Scoring reads every text once; the model is two fixed-size weight tables.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship
+from .store import sampled, ship
 from .text import LOWER, U64, column, crc, hash_spans, mix, pair, slices, spans
 
 WORDS, SHAPES = 1 << 17, 1 << 12
@@ -137,14 +137,15 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS):
-    """The model, from labelled rows whose crc32(doc_id) mod 3 is not 1: at most per_class of each label."""
+    """The model, from labelled rows whose crc32(doc_id) mod 3 is not 1: about per_class of each label."""
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    counts = dict(known.groupBy("label").count().collect())
+    picked = [sampled(known.filter(F.col("label") == k), "doc_id", per_class, counts.get(k, 0)) for k in (0, 1)]
     sample = picked[0].union(picked[1])
-    rows = _columns(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_slots_of, "doc_id long, label int, slots binary").collect()  # at most 2 * per_class rows
+    rows = _columns(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_slots_of, "doc_id long, label int, slots binary").collect()  # at most 4 * per_class rows
     rows = sorted({(r.doc_id, r.label, bytes(r.slots)) for r in rows})
     return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]))
 

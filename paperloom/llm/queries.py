@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jpeg import media_digests
+from . import linerules
 from .katz import language_model_scores
 from .minhash import near_duplicates
 from .nbsvm import quality_scores
@@ -37,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"), at_least=0)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.line_quality(documents(spark, sf_dir))
+
+
 def op5_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -57,5 +62,5 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op10_jpeg)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op10_jpeg)}
+ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE}
