@@ -62,6 +62,24 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (both & ((1 << 18) - 1)).astype(np.int32), np.searchsorted(both >> 18, np.arange(n + 1))
 
 
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for |w|^2 / 2 + bias^2 / 2 + sum of cost times hinge loss. Gives w, bias, the dual variables."""
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
+    norm = np.array([v @ v + 1.0 for v in values])
+    rng = np.random.default_rng(5)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            r, v = rows[i], values[i]
+            g = y[i] * (w[r] @ v + bias) - 1
+            new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
+            if new != alpha[i]:
+                step = (new - alpha[i]) * y[i]
+                w[r] += step * v
+                bias += step
+                alpha[i] = new
+    return w, bias, alpha
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float, float, float]:
     """Weights by slot (count ratio times hinge weight), bias, and the logistic's slope and shift. One class or no rows:
     a constant model of that class (0.5 without rows)."""
@@ -75,20 +93,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float,
         (p if s > 0 else q)[r] += 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
-    norm = np.array([v @ v + 1.0 for v in values])
     cost = COST * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
-    rng = np.random.default_rng(5)
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
-            g = y[i] * (w[r] @ v + bias) - 1
-            new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
-            if new != alpha[i]:
-                step = (new - alpha[i]) * y[i]
-                w[r] += step * v
-                bias += step
-                alpha[i] = new
+    w, bias, _ = descend(rows, values, y, cost, size, EPOCHS)
     margins = np.array([w[r] @ v + bias for r, v in zip(rows, values)])
     # one-dimensional logistic regression, weakly held to margin 1 = 0.9 so that separable data stay calibrated
     a, b = 2.2, 0.0

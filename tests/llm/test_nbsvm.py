@@ -30,9 +30,12 @@ def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(80)]
     labels = np.array([int((r < 20).sum() > (r >= 20).sum()) for r in rows])
-    w, bias, a, b = nbsvm.fit(rows, labels)
-    score = [1 / (1 + np.exp(-(a * (w[r].sum() / np.sqrt(len(r)) + bias) + b))) for r in rows]
-    assert np.mean((np.array(score) >= 0.5) == labels) > 0.95
+    y, values, cost = np.where(labels > 0, 1.0, -1.0), [np.ones(len(r)) / np.sqrt(len(r)) for r in rows], np.full(80, 2.0)
+    w, bias, alpha = nbsvm.descend(rows, values, y, cost, 40, 400)
+    slack = np.array([max(0, 1 - t * (w[r] @ v + bias)) for r, v, t in zip(rows, values, y)])
+    primal = (w @ w + bias**2) / 2 + (cost * slack).sum()
+    dual = alpha.sum() - (w @ w + bias**2) / 2
+    assert ((0 <= alpha) & (alpha <= cost)).all() and 0 <= primal - dual < 1e-3 * primal
 
 
 def test_edges(spark):
