@@ -12,6 +12,7 @@ from .katz import language_model_scores
 from .minhash import near_duplicates
 from .nbsvm import quality_scores
 from .pfair import mixed
+from .pii import personal_data
 from .pieces import sample_pieces
 from .store import documents
 from .tokencount import token_counts
@@ -58,9 +59,13 @@ def op8_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op10_jpeg)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op9_pii, op10_jpeg)}
 ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE}
