@@ -224,3 +224,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = fp.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id; all columns. See near_duplicates.
+
+    Rows without doc_id stay; rows that repeat the kept doc_id are that document, and stay.
+    """
+    gone = written(near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "dropped", docs.sparkSession)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

@@ -170,3 +170,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", p
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, per_class))
     return _columns(docs).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns. See quality_scores."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, per_class))
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
+
+        weights, bias, a, b0 = model.value
+        out = []
+        for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
+            ids, first = features(b.column(0))
+            total = np.concatenate([[0.0], np.cumsum(weights[ids])])
+            m = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, np.diff(first))) + bias
+            out.append(np.round(1 / (1 + np.exp(-np.clip(a * m + b0, -30, 30))), 9))
+        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+
+    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)

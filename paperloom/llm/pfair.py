@@ -77,13 +77,28 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     table gives an empty result. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("units"))
-    return schedule(rows, weights, temperature, frame, block_units, seed)
+    rows = written(_ordered(rows, seed), "units", docs.sparkSession)  # the texts are read once
+    return schedule(rows, weights, temperature, frame, block_units)
 
 
-def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: float, frame: int, block_units: int, seed: int) -> DataFrame:
-    spark = rows.sparkSession
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, frame: int = FRAME, block_units: int = BLOCK_UNITS, seed: int = 1, slots_per_file: int = 256) -> DataFrame:
+    """The mixture itself: the rows of docs with all their columns, each as often as it is scheduled. Written as files, a
+    file holds runs of slots_per_file consecutive slots, in order. See mixed."""
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("units"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = schedule(_ordered(rows, seed), weights, temperature, frame, block_units)
+    out = out.withColumn("run", F.floor(F.col("slot") / slots_per_file)).repartition("run").sortWithinPartitions("slot", "at")
+    return out.select("row.*")
+
+
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = written(rows.withColumn("order", F.substring(key, 1, 16)), "units", spark)  # the texts are read once
+    return rows.withColumn("order", F.substring(key, 1, 16))
+
+
+def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: float, frame: int, block_units: int) -> DataFrame:
+    """rows (doc_id, source, units, order, and perhaps row) with block, epoch, slot, at."""
+    spark = rows.sparkSession
+    keep = ["doc_id", "source", "units", *(["row"] if "row" in rows.columns else [])]
     # 4,096 buckets by the hash's first three digits: a third of 10^9 rows is some 10^5 to a bucket
     rows = rows.withColumn("bucket", F.substring("order", 1, 3))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("units").alias("sum"))
@@ -99,7 +114,7 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     inner = F.coalesce(F.sum("units").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = rows.withColumn("inner", inner)
     a, b = at.alias("a"), buckets.select(F.col("source").alias("s"), F.col("bucket").alias("k"), "before").alias("b")
-    at = a.join(b, F.col("a.source").eqNullSafe(F.col("b.s")) & (F.col("a.bucket") == F.col("b.k"))).select("doc_id", "source", "units", (F.col("before") + F.col("inner")).alias("at"))
+    at = a.join(b, F.col("a.source").eqNullSafe(F.col("b.s")) & (F.col("a.bucket") == F.col("b.k"))).select(*keep, (F.col("before") + F.col("inner")).alias("at"))
     # the mixture ends with the last first reading of any source
     last = share.withColumn("nth", ((F.col("blocks") - 1) % F.col("share")).cast("int")).join(slots, ["rank", "nth"])
     last = last.agg(F.max(F.floor((F.col("blocks") - 1) / F.col("share")) * frame + F.col("slot")).alias("end"))
@@ -112,4 +127,4 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     slots = slots.withColumnRenamed("slot", "in_frame")
     placed = placed.join(F.broadcast(slots), ["rank", "nth"])  # FRAME rows
     slot = F.floor(F.col("index") / F.col("share")) * frame + F.col("in_frame")
-    return placed.withColumn("slot", slot.cast("long")).filter("slot <= end").select("doc_id", "source", "units", "block", "epoch", "slot", "at")
+    return placed.withColumn("slot", slot.cast("long")).filter("slot <= end").select(*keep, "block", "epoch", "slot", "at")
