@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 TOK = r"tok AS (SELECT doc_id, len(t) AS n, unnest(range(len(t))) AS tok_no, unnest(t) AS tok FROM (SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D\x20]+') AS t FROM documents))"
 LIN = r"lin AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '[^\x09-\x0D\x20]+') AS toks FROM (SELECT doc_id, unnest(range(len(l))) AS line_no, regexp_replace(unnest(l), '\r+$', '') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '[^\x09-\x0D\x20]'))"
 BARE = r"regexp_replace(tok, '[^\p{L}\p{M}\p{N}\p{Pc}]', '', 'g')"
+#: lineitem has no key; rows that tie on all of these are alike
+LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "on"]
 
 
@@ -221,21 +223,21 @@ def last_match(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter(F.contains("text", F.lit(" "))).groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("WITH w AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, l_linestatus, lag(l_returnflag) OVER o AS a, lag(l_linestatus) OVER o AS b FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey, l_linenumber, CASE WHEN a = l_returnflag THEN 'continue' ELSE 'new' END AS l_returnflag_diff, CASE WHEN b = l_linestatus THEN 'continue' ELSE 'new' END AS l_linestatus_diff FROM w")
+@query("WITH w AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, l_linestatus, lag(l_returnflag) OVER o AS a, lag(l_linestatus) OVER o AS b FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus)) SELECT l_orderkey, l_linenumber, CASE WHEN a = l_returnflag THEN 'continue' ELSE 'new' END AS l_returnflag_diff, CASE WHEN b = l_linestatus THEN 'continue' ELSE 'new' END AS l_linestatus_diff FROM w")
 def lag_diff_features(spark, sf_dir):
-    out = T.changes(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber"], ["l_returnflag", "l_linestatus"])
+    out = T.changes(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE, ["l_returnflag", "l_linestatus"])
     return out.select("l_orderkey", "l_linenumber", "l_returnflag_diff", "l_linestatus_diff")
 
 
-@query("WITH w AS (SELECT l_orderkey, l_linenumber, (l_returnflag, l_linestatus) AS s, lag((l_returnflag, l_linestatus)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(sum(CASE WHEN p IS NOT NULL AND p <> s THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS section FROM w")
+@query("WITH w AS (SELECT *, (l_returnflag, l_linestatus) AS s, lag((l_returnflag, l_linestatus)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus) AS p FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(sum(CASE WHEN p IS NOT NULL AND p <> s THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus) AS BIGINT) AS section FROM w")
 def section_breaks(spark, sf_dir):
-    return T.section_breaks(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber"], ["l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber", "section")
+    return T.section_breaks(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE, ["l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber", "section")
 
 
-@query("WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity - lag(l_discount * 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS gap FROM lineitem), b AS (SELECT *, CASE WHEN gap > 5.0 * lag(gap) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 1 ELSE 0 END AS b FROM a) SELECT l_orderkey, l_linenumber, CAST(sum(b) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS sequence FROM b")
+@query("WITH a AS (SELECT *, l_quantity - lag(l_discount * 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus) AS gap FROM lineitem), b AS (SELECT *, CASE WHEN gap > 5.0 * lag(gap) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus) THEN 1 ELSE 0 END AS b FROM a) SELECT l_orderkey, l_linenumber, CAST(sum(b) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_returnflag, l_linestatus) AS BIGINT) AS sequence FROM b")
 def gap_breaks(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("r", F.col("l_discount") * 100)
-    return T.gap_breaks(rows, "l_orderkey", ["l_linenumber"], "l_quantity", "r").select("l_orderkey", "l_linenumber", "sequence")
+    return T.gap_breaks(rows, "l_orderkey", LINE, "l_quantity", "r").select("l_orderkey", "l_linenumber", "sequence")
 
 
 @query("WITH c AS (SELECT l_orderkey, l_quantity, CAST(sum(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_quantity, w AS weight FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY w DESC, l_quantity DESC) = 1")
