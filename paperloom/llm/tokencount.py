@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship
+from .store import sampled, ship
 from .text import column, slices
 
 TABLE = 1 << 16
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = docs.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()
+    sample = sampled(docs, "doc_id", SAMPLE, docs.count()).filter(F.length("text") <= SAMPLE_CHARS).select("text").collect()
     seen = Counter(w for r in sample for w in pre_tokens(r.text.encode()) if len(w) <= LONGEST)
     words = [w for w, _ in seen.most_common(TABLE)]
     table = spark.sparkContext.broadcast(dict(zip(words, Counts(path).encode(words))) if words else {})
