@@ -128,3 +128,24 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     placed = placed.join(F.broadcast(slots), ["rank", "nth"])  # FRAME rows
     slot = F.floor(F.col("index") / F.col("share")) * frame + F.col("in_frame")
     return placed.withColumn("slot", slot.cast("long")).filter("slot <= end").select(*keep, "block", "epoch", "slot", "at")
+
+
+#: DuckDB SQL for mixed() over documents, with its default parameters; the frame's schedule is a recursive query.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(length(coalesce(text, '')) AS BIGINT) AS units, substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS ord FROM documents),
+w AS (SELECT source, units, pow(CAST(greatest(units, 1) AS DOUBLE), {TEMPERATURE}) AS w, CAST(row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS INTEGER) AS rank, count(*) OVER () AS n FROM (SELECT source, CAST(sum(units) AS BIGINT) AS units FROM d GROUP BY source)),
+f AS (SELECT *, CAST(floor(ideal) AS INTEGER) AS whole FROM (SELECT *, w / sum(w) OVER () * ({FRAME} - n) AS ideal FROM w)),
+s AS (SELECT source, rank, CAST(greatest(1, ceil(units / {BLOCK_UNITS}.0)) AS BIGINT) AS blocks, CAST(1 + whole + CASE WHEN row_number() OVER (ORDER BY round(whole - ideal, 9), rank) <= {FRAME} - n - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM f),
+sh AS (SELECT list(share ORDER BY rank) AS sh FROM s),
+e AS (SELECT -1 AS slot, list_transform(sh, lambda x: CAST(0 AS BIGINT)) AS done, CAST(-1 AS BIGINT) AS pick, sh FROM sh
+ UNION ALL SELECT slot + 1, list_transform(range(len(sh)), lambda k: done[k + 1] + CASE WHEN k = p THEN 1 ELSE 0 END), p, sh FROM (
+  SELECT slot, done, sh, list_min(list_filter(list_transform(range(len(sh)), lambda k: CASE WHEN done[k + 1] * {FRAME} // sh[k + 1] <= slot + 1 THEN ((done[k + 1] + 1) * {FRAME} + sh[k + 1] - 1) // sh[k + 1] * 100000 + k END), lambda x: x IS NOT NULL)) % 100000 AS p FROM e WHERE slot < {FRAME - 1})),
+pat AS (SELECT CAST(pick AS INTEGER) AS rank, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM e WHERE slot >= 0),
+fin AS (SELECT max((blocks - 1) // share * {FRAME} + slot) AS e, max(CAST(ceil(blocks / share) AS BIGINT)) AS frames FROM s JOIN pat ON s.rank = pat.rank AND (blocks - 1) % share = nth),
+a AS (SELECT *, CAST(coalesce(sum(units) OVER (PARTITION BY source ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "at" FROM d),
+b AS (SELECT doc_id, a.source, units, "at", least("at" // {BLOCK_UNITS}, blocks - 1) AS block, blocks, share, rank, frames, e FROM a JOIN s ON a.source IS NOT DISTINCT FROM s.source, fin),
+x AS (SELECT *, unnest(range(0, (share * frames - block - 1) // blocks + 1)) AS epoch FROM b),
+y AS (SELECT *, block + epoch * blocks AS i FROM x),
+z AS (SELECT doc_id, source, units, block, epoch, CAST(i // share * {FRAME} + slot AS BIGINT) AS slot, "at", e FROM y JOIN pat ON y.rank = pat.rank AND i % share = nth)
+SELECT doc_id, source, units, block, epoch, slot, "at" FROM z WHERE slot <= e
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jpeg import media_digests
-from . import linerules
+from . import linerules, pfair
 from .katz import language_model_scores
 from .minhash import near_duplicates
 from .nbsvm import quality_scores
@@ -68,4 +68,4 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op9_pii, op10_jpeg)}
-ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE, "op8_pfair": pfair.ORACLE}

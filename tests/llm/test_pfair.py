@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import pytest
 
-from paperloom.llm.pfair import mixed, pattern
+from paperloom.llm.pfair import ORACLE, mixed, pattern
 
 DOCS = "doc_id long, text string, source string, slot long, share string"
 
@@ -83,3 +83,17 @@ def test_edges(spark):
         mixed(many, frame=5).collect()
     even = mixed(many, weights={f"s{i}": 1.0 for i in range(9)}, frame=9, block_units=10).collect()
     assert sorted(r.slot for r in even) == list(range(9))
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_driver_table_against_sql(spark, size):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{size}/documents.parquet'")
+    want, got = con.sql(ORACLE).df(), mixed(spark.read.parquet(f"/root/testdata/{size}/documents.parquet")).toPandas()
+    cols = sorted(want)
+    assert cols == sorted(got)
+    a, b = (x[cols].sort_values(["slot", "at", "doc_id"]).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b)
