@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, ship, written
+from .store import new_path, sampled, ship, written
 from .text import column, slices
 
 MAGIC = 0x184D2A5D
@@ -167,7 +167,7 @@ def write_archive(pages: DataFrame, at_least: int = 0) -> tuple[str, DataFrame]:
     key = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
     # payloads that occur more than once, with the page that keeps them: often few; the planner sees the table's size
     again = written(pages.select("page_id", key.alias("key"), F.octet_length("html").alias("size")).filter(F.col("size") >= at_least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("key", "first"), "repeated", spark)
-    sample = pages.filter(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()
+    sample = sampled(pages, "page_id", SAMPLE, pages.count()).filter(F.octet_length("html") <= SAMPLE_BYTES).collect()
     dictionary = train([record(r.page_id, r.url, p := r.html.encode(), None, len(p), _base32(hashlib.sha1(p).digest())) for r in sample])
     whole = pages.withColumn("key", key).join(again, "key", "left")
     refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
