@@ -14,6 +14,7 @@ partition's size is bounded by the number of partitions, chosen by the number of
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 from collections.abc import Callable, Iterator
 
@@ -28,7 +29,8 @@ from .store import delete, drop_written, new_path, ship, written
 from .text import U64, crc, mix, pair, slices, words
 
 K = 5  # counts above it are not discounted
-BATCH = 1 << 23  # bytes of text in a batch
+BATCH = 3 << 20  # bytes of text in a batch
+CHUNK = 1 << 17  # tokens at a time in steps that need temporaries
 ENTRIES = 2_000_000  # in a key partition
 END, BEGIN = U64(0x51ED270B7F3C1A45), U64(0x1B873593CC9E2D51)
 
@@ -45,6 +47,22 @@ def unpack(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Keys as the first one and differences of as few bytes as the largest needs; best if they ascend."""
+    step = np.diff(keys)
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    step = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(step) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    wide[1:, :width] = step
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d(0), ..., d(K) from the numbers of types that occur 1, ..., K + 1 times; d is 1 above K.
 
@@ -137,16 +155,39 @@ class Batch:
     def __init__(self, b: pa.RecordBatch, i: int):
         get = lambda k, t: np.frombuffer(b.column(k)[i].as_buffer(), t)
         self.id, self.docs = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-        self.sizes, self.tokens = get(2, np.int32).astype(np.int64), get(3, np.int32).astype(np.int64)
-        self.words, self.train = np.append(get(4, np.uint64), BEGIN), get(5, np.int32).astype(np.int64)
-
-    def pairs(self):
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        ends = np.cumsum(self.sizes)
-        before[ends - self.sizes] = len(self.words) - 1
-        keys, index, which = np.unique(pair(self.words[before], self.words[self.tokens]), return_index=True, return_inverse=True)
-        return keys, before[index], self.tokens[index], which, before
+        self.sizes, self.tokens = get(2, np.int32).astype(np.int64), get(3, np.int32)
+        self.words, self.train = np.append(get(4, np.uint64), BEGIN), get(5, np.int32)
+
+    def before(self) -> np.ndarray:
+        """For each token the word before it in its text."""
+        out = np.empty_like(self.tokens)
+        out[1:] = self.tokens[:-1]
+        out[np.cumsum(self.sizes) - self.sizes] = len(self.words) - 1
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs' keys, an occurrence of each, and each token's pair."""
+        before, n = self.before(), len(self.tokens)
+        keys = np.empty(n, np.uint64)
+        for i in range(0, n, CHUNK):
+            keys[i : i + CHUNK] = pair(self.words[before[i : i + CHUNK]], self.words[self.tokens[i : i + CHUNK]])
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        new = np.empty(n, bool)
+        new[:1] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        which = np.empty(n, np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        return keys[new], order[new], which
+
+
+def _trim() -> None:
+    """Gives freed memory back between batches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 # ---- a round: requests by key partition, answers by batch
@@ -154,7 +195,7 @@ class Batch:
 
 def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys by partition, and each partition's first (length parts + 1). Top bits: sorted keys stay in order."""
-    p = ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+    p = ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
     order = np.argsort(p, kind="stable")
     return order, np.searchsorted(p[order], np.arange(parts + 1))
 
@@ -170,10 +211,14 @@ def _requests(make: Callable, parts: int):
                 order, first = _parts(keys, parts)
                 used = np.flatnonzero(np.diff(first))
                 cols = [pa.array(used, pa.int32()), pa.array(np.full(len(used), one.id))]
-                for x in (keys, *values):
+                x = keys[order]
+                cols.append(pa.array([pack_keys(x[first[p] : first[p + 1]]) for p in used], pa.binary()))
+                for x in values:
                     x = x[order]
                     cols.append(pa.array([x[first[p] : first[p + 1]].tobytes() for p in used], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["part", "batch", "keys", *[f"v{k}" for k in range(len(values))]])
+                del one, keys, values, order, cols
+                _trim()
 
     return run
 
@@ -185,9 +230,10 @@ def _answer(types: list, reply: Callable):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("batch").combine_chunks()
         ids, part = t.column("batch").to_numpy(), t.column("part")[0].as_py()
-        blobs = t.column("keys").to_pylist()
-        size = [len(x) // 8 for x in blobs]
-        keys, index, which = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_index=True, return_inverse=True)
+        blobs = [unpack_keys(x.as_py()) for x in t.column("keys")]
+        size = [len(x) for x in blobs]
+        keys, index, which = np.unique(np.concatenate(blobs), return_index=True, return_inverse=True)
+        del blobs
         sums = [np.bincount(which, np.frombuffer(b"".join(t.column(f"v{k}").to_pylist()), x).astype(np.float64), len(keys)) for k, x in enumerate(types)]
         first = np.zeros(len(which), bool)
         first[index] = True
@@ -253,7 +299,8 @@ class Answers:
                 continue
             with self.fs.open_input_file(info.path) as f:
                 t = pq.ParquetFile(f).read(["part", "small", "large", "more"])
-            for p, a, b, c in zip(*(t.column(k).to_pylist() for k in range(4))):
+            for j in range(t.num_rows):
+                p, a, b, c = (t.column(k)[j].as_py() for k in range(4))
                 at = order[first[p] : first[p + 1]]
                 counts[at] = unpack(a, b)
                 if kind is bool:
@@ -264,23 +311,23 @@ class Answers:
 
 
 def _ask_words(one: Batch):
-    return one.words[:-1], (one.train.astype(np.int32),)
+    return one.words[:-1], (one.train,)
 
 
 def _ask_pairs(one: Batch):
-    keys, _, _, which, _ = one.pairs()
+    keys, _, which = one.pairs()
     train = np.repeat(crc(one.docs) % 7 != 2, one.sizes)
     return keys, (np.bincount(which[train], minlength=len(keys)).astype(np.int32),)
 
 
 def _ask_histories(words_at: str, pairs_at: str, parts: tuple, unigram: Unigram, d: np.ndarray):
     def make(one: Batch):
-        keys, before, word, _, _ = one.pairs()
-        c, _ = Answers(words_at, parts[0])(one.id, one.words[:-1], np.int8)
+        keys, at, _ = one.pairs()
         n, own = Answers(pairs_at, parts[1])(one.id, keys, bool)
-        size = len(one.words)
-        sums = [np.bincount(before[own], x, size) for x in (n[own].astype(float), discounted(n[own], d), unigram(c[word[own]]))]
-        return one.words, tuple(sums)
+        n, at = n[own], at[own]
+        before, word, size = one.before()[at], one.tokens[at], len(one.words)
+        c, _ = Answers(words_at, parts[0])(one.id, one.words[:-1], np.int8)
+        return one.words, tuple(np.bincount(before, x, size) for x in (n, discounted(n, d), unigram(c)[word]))
 
     return make
 
@@ -292,20 +339,27 @@ def _scores(words_at: str, pairs_at: str, histories_at: str, parts: tuple, unigr
         for b in batches:
             for i in range(b.num_rows):
                 one = Batch(b, i)
-                keys, _, _, which, before = one.pairs()
-                c, _ = Answers(words_at, parts[0])(one.id, one.words[:-1], np.int8)
+                keys, _, which = one.pairs()
                 n, _ = Answers(pairs_at, parts[1])(one.id, keys, bool)
+                del keys
+                top = discounted(n, d)
+                seen, top = n > 0, np.log10(np.maximum(top, 1e-300))
                 divisor, alpha = Answers(histories_at, parts[2])(one.id, one.words, np.float64)
-                base = np.log10((c + 1) / (unigram.tokens + unigram.types + 1))[one.tokens]
-                low = np.log10(unigram(c))[one.tokens]
-                top = discounted(n, d)[which]
-                h = divisor[before]
-                score = np.where(top > 0, np.log10(np.maximum(top, 1e-300)) - np.log10(np.maximum(h, 1)), np.log10(np.maximum(alpha[before], 1e-300)) + low)
+                divisor, alpha = np.log10(np.maximum(divisor, 1)), np.log10(np.maximum(alpha, 1e-300))
+                c, _ = Answers(words_at, parts[0])(one.id, one.words[:-1], np.int8)
+                base_of, low_of = np.log10((c + 1) / (unigram.tokens + unigram.types + 1)), np.log10(unigram(c))
+                before, score = one.before(), np.empty(len(which))
+                for j in range(0, len(which), CHUNK):
+                    p, h, w = which[j : j + CHUNK], before[j : j + CHUNK], one.tokens[j : j + CHUNK]
+                    score[j : j + CHUNK] = np.where(seen[p], top[p] - divisor[h], alpha[h] + low_of[w])
+                del which, before
                 first = np.cumsum(one.sizes) - one.sizes
-                known = np.add.reduceat((c > 0)[one.tokens].astype(np.int64), first)
+                known = np.add.reduceat((c > 0)[one.tokens], first, dtype=np.int64)
                 held = crc(one.docs) % 7 == 2
                 cols = [pa.array(one.docs, pa.int64()), pa.array(held), pa.array(one.sizes), pa.array(known), pa.array(np.full(len(first), unigram.tokens, np.int64))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))], names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.add.reduceat(base_of[one.tokens], first)), pa.array(np.add.reduceat(score, first))], names)
+                del one, score, cols
+                _trim()
 
     return run
 

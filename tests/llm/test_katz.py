@@ -93,3 +93,11 @@ def test_discounts():
     assert d[0] == 1 and d[1] == pytest.approx((2 * 400 / 1000 - 6 * 55 / 1000) / (1 - 6 * 55 / 1000))
     assert (katz.discounts([0] * 6) == 1).all()
     assert katz.discounts([5, 0, 0, 0, 0, 0])[1] == 0.5
+
+
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(1)
+    for keys in (np.sort(rng.integers(0, 2**63, 1000, dtype=np.uint64)), np.array([5], np.uint64), np.array([2**64 - 1, 3, 2**63, 0], np.uint64), np.arange(10, dtype=np.uint64)):
+        assert (katz.unpack_keys(katz.pack_keys(keys)) == keys).all()
+    counts = np.array([0, 1, 254, 255, 256, 10**12])
+    assert (katz.unpack(*katz.pack(counts)) == counts).all()
