@@ -26,7 +26,7 @@ from .text import U64, column, hash_spans, mix, slices
 
 ALPHA = 2e-4
 SHORT = 32  # bytes of a unit whose forward sums stay within a double
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 MARK = "▁"
 _BASE = U64(0xC2B2AE3D27D4EB4F)
 _CODE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
