@@ -284,8 +284,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     def cut(t: Column, spans: Column) -> Column:
         # a span whose start lies within an earlier one is part of it
         ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-        reach = let(ordered, lambda o: F.transform(o, lambda x, i: F.struct(x["start"].alias("start"), F.when(i == 0, F.lit(0).cast("long")).otherwise(-F.array_min(F.transform(F.slice(o, F.greatest(F.lit(1), i - 7), F.least(i, F.lit(8))), lambda y: y["end"]))).alias("past"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
-        pieces = let(reach, lambda o: F.transform(o, lambda x, i: F.concat(F.when(x["start"] > x["past"], F.substr(t, (x["past"] + 1).cast("int"), (x["start"] - x["past"]).cast("int"))).otherwise(""), F.when((x["start"] >= x["past"]), F.concat(F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))))
+        none = F.array().cast("array<struct<start:bigint,past:bigint,kind:string>>")
+        step = lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), a["past"].alias("past"), x["kind"].alias("kind")))).alias("out"), F.greatest(a["past"], -x["end"]).alias("past"))
+        reach = F.aggregate(ordered, F.struct(none.alias("out"), F.lit(0).cast("long").alias("past")), step)["out"]
+        pieces = let(reach, lambda o: F.transform(o, lambda x: F.concat(F.when(x["start"] > x["past"], F.substr(t, (x["past"] + 1).cast("int"), (x["start"] - x["past"]).cast("int"))).otherwise(""), F.when(x["start"] >= x["past"], F.concat(F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))))
         tail = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
         return F.concat(F.array_join(pieces, ""), let(tail, lambda e: F.substr(t, (e + 1).cast("int"), F.length(t))))
 

@@ -82,7 +82,7 @@ def test_model_on_new_examples(kind):
 
 
 def test_redaction(spark):
-    rows = [(1, "mail bosbt.42@mail8.example.com now, 55.63.178.142!", "k"), (2, None, "k"), (3, "clean", None), (4, "x a+12345678@b.co y", "k"), (5, "a@b.co", "k")]
+    rows = [(1, "mail bosbt.42@mail8.example.com now, 55.63.178.142!", "k"), (2, None, "k"), (3, "clean", None), (4, "x a+12345678@b.co y", "k"), (5, "a@b.co", "k"), (6, "q x@" + ".".join("1234" * 20) + ", 1.2.3.4 end", "k")]
     got = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[1] == "mail <email> now, <ip>!" and got[2] is None and got[3] == "clean" and got[5] == "<email>"
-    assert got[4] == "x <email> y"
+    assert got[4] == "x <email> y" and got[6] == "q <email>, <ip> end"
