@@ -275,7 +275,7 @@ def _round(batches: DataFrame, make: Callable, types: list, reply: Callable, par
     answers = asked.groupBy("part").applyInArrow(_answer(types, reply), _ANSWER)
     path = new_path(spark, name)
     # the statistics' rows share the batch number -1; part spreads them
-    answers.repartition("batch", F.when(F.col("batch") < 0, F.col("part"))).write.partitionBy("batch").parquet(path)
+    answers.repartition("batch", F.when(F.col("batch") < 0, F.col("part"))).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     stats = [0] * (K + 3)
     if parts and batches.limit(1).count():
         table = spark.read.parquet(f"{path}/batch=-1").select("stats")
@@ -375,7 +375,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = new_path(spark, "batches")
-    docs.mapInArrow(_batches, "batch long, doc_ids array<long>, sizes binary, tokens binary, vocab binary, train binary").write.option("maxRecordsPerFile", 4).parquet(path)
+    docs.mapInArrow(_batches, "batch long, doc_ids array<long>, sizes binary, tokens binary, vocab binary, train binary").write.option("maxRecordsPerFile", 4).option("compression", "zstd").parquet(path)
     batches = spark.read.parquet(path)
     size = batches.agg(F.coalesce(F.sum(F.octet_length("vocab")), F.lit(0)) / 8, F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)) / 4).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
