@@ -70,14 +70,14 @@ def number_class(tok: Column, line_style: bool = False) -> Column:
     """What kind of number a token is. line_style puts the two ending classes of line models first."""
     w = bare(tok)
     cases = [
-        (w.rlike("^(19|20)[0-9][0-9]$"), "year"),
+        (w.rlike(r"^(19|20)\d\d$"), "year"),
         (tok.rlike("[0-9]-[0-9]"), "possiblePage"),
-        (tok.rlike(r"[0-9]\([0-9]+\)"), "possibleVol"),
+        (tok.rlike(r"\d\(\d+\)"), "possibleVol"),
         (w.rlike("^[0-9]$"), "1dig"),
         (w.rlike("^[0-9]{2}$"), "2dig"),
         (w.rlike("^[0-9]{3}$"), "3dig"),
         (w.rlike("^[0-9]+$"), "4+dig"),
-        (w.rlike("^[0-9]+(th|st|nd|rd)$"), "ordinal"),
+        (w.rlike(r"^\d+(nd|rd|st|th)$"), "ordinal"),
         (w.rlike("[0-9]"), "hasDig"),
     ]
     if line_style:
@@ -93,13 +93,13 @@ def punct_class(tok: Column) -> Column:
         (tok.rlike("[,:;-]$"), "contPunct"),
         (tok.rlike("[!?.\"']$"), "stopPunct"),
         (tok.rlike(r"^[(\[{<].+[)\]}>].?$"), "braces"),
-        (tok.rlike(r"^[0-9]{2,5}\([0-9]{2,5}\).?$"), "possibleVol"),
+        (tok.rlike(r"^\d{2,5}\(\d{2,5}\).?$"), "possibleVol"),
         default="others",
     )
 
 
 def possible_editor(line: Column) -> Column:
-    return F.when(line.rlike(r"[^A-Za-z](ed\.|editor|eds\.)"), "possibleEditors").otherwise("noEditors")
+    return F.when(line.rlike(r"[^a-zA-Z](editor|eds?\.)"), "possibleEditors").otherwise("noEditors")
 
 
 def token_bin(at: Column, n: Column, bins: int = 12) -> Column:
@@ -117,9 +117,9 @@ def section_number(toks: Column) -> Column:
     t = F.coalesce(F.get(toks, F.lit(0)), F.lit(""))
     many = F.size(toks) > 1
     return first_of(
-        (many & t.rlike(r"^[1-9]\.[1-9]\.?$"), "posSubsec"),
-        (many & t.rlike(r"^[1-9]\.[1-9]\.[1-9]\.?$"), "posSubsubsec"),
-        (many & t.rlike(rf"^[{W}]\.[1-9]\.[1-9]\.?$"), "posCategory"),
+        (many & t.rlike(r"^[1-9](\.[1-9])\.?$"), "posSubsec"),
+        (many & t.rlike(r"^[1-9](\.[1-9]){2}\.?$"), "posSubsubsec"),
+        (many & t.rlike(rf"^[{W}](\.[1-9]){{2}}\.?$"), "posCategory"),
         (t.rlike(f"^[1-9][A-Za-z][{W}]*$"), "numFootnote"),
         (t.rlike("^[1-9](http|www)"), "numWebfootnote"),
         default="lineNumOthers",
@@ -131,7 +131,7 @@ def line_punct(line: Column) -> Column:
 
 
 def word_bucket(toks: Column) -> Column:
-    n = F.size(F.filter(toks, lambda t: t.rlike(r"^\p{P}*[a-zA-Z]+\p{P}*$")))
+    n = F.size(F.filter(toks, lambda t: t.rlike(r"^\p{P}*[A-Za-z]+\p{P}*$")))
     return F.when(n >= 5, "5+Words").otherwise(F.concat(n.cast("string"), F.lit("Words")))
 
 

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{Lu}\p{Ll}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once. Without it, nested uses would multiply the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_punctuation(s: Column, rounds: int = 4) -> Column:
     """Leading junk off, unpaired outer brackets off. Each round takes a layer; rounds bounds the layers."""
+
+    def close(x: Column) -> Column:
+        return F.when(x.rlike(r"\p{Pe}$") & ~x.rlike(r"\p{Ps}[^\p{Pe}\p{Ps}]+\p{Pe}$"), F.regexp_replace(x, r"\p{Pe}+$", "")).otherwise(x)
+
+    def open_(x: Column) -> Column:
+        return F.when(x.rlike(r"^\p{Ps}") & ~x.rlike(r"^\p{Ps}[^\p{Pe}\p{Ps}]+\p{Pe}"), F.regexp_replace(x, r"^\p{Ps}+", "")).otherwise(x)
+
     for _ in range(rounds):
-        s = F.regexp_replace(s, rf"^[^{WORD}0-9\p{{Ps}}]+", "")
-        s = F.when(s.rlike(r"\p{Pe}$") & ~s.rlike(r"\p{Ps}[^\p{Ps}\p{Pe}]+\p{Pe}$"), F.regexp_replace(s, r"\p{Pe}+$", "")).otherwise(s)
-        s = F.when(s.rlike(r"^\p{Ps}") & ~s.rlike(r"^\p{Ps}[^\p{Ps}\p{Pe}]+\p{Pe}"), F.regexp_replace(s, r"^\p{Ps}+", "")).otherwise(s)
+        s = let(let(F.regexp_replace(s, rf"^[^{WORD}0-9\p{{Ps}}]+", ""), close), open_)
     return s
 
 
@@ -30,8 +42,7 @@ def date(s: Column, as_of_year: int) -> Column:
 
 
 def number(s: Column) -> Column:
-    d = F.regexp_extract(s, "([0-9]+)", 1)
-    return F.when(d != "", d).otherwise(s)
+    return let(s, lambda x: let(F.regexp_extract(x, "([0-9]+)", 1), lambda d: F.when(d != "", d).otherwise(x)))
 
 
 def pages(s: Column) -> Column:
@@ -57,24 +68,25 @@ def author_tokens(s: Column) -> Column:
         (rf"^.*?[{WORD}]{{2,}}\. ", ""),
         (r"\(.*?\)", ""), (r"^.*?\)\.?", ""), (r"\(.*?$", ""),
         (r"\[.*?\]", ""), (r"^.*?\]\.?", ""), (r"\[.*?$", ""),
-        (";", ","), (",", ", "), (":", " "), (r'["<>/?{}\[\]+=()*^%$#@!~_]', ""),
+        (";", ","), (",", ", "), (":", " "), (r'[!"#$%()*+/<=>?@\[\]^_{}~]', ""),
     ):
         s = F.regexp_replace(s, pattern, by)
     s = F.regexp_replace(F.regexp_replace(s, "(?i)" + PARTICLES, "$1_"), r"(?i)\b(van|von|de)\x20(der|den|de|la|las|los)_", "$1_$2_")
-    toks = F.filter(F.split(s, r"[\x09-\x0D\x20]+", -1), lambda t: t != "")
-    n = F.size(toks)
+    return let(F.filter(F.split(s, r"[\x09-\x0D\x20]+", -1), lambda t: t != ""), _kept_tokens)
+
 
+def _kept_tokens(toks: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
-        t, i = x["t"], x["i"]
+        t, early = x["t"], x["early"]
         junk = ~t.rlike(rf"[{WORD}&]")
-        suffix = t.rlike(r"(?i)^(jr|sr|ph\.?d|m\.?d|esq)\.?,?$") & F.coalesce(F.try_element_at(acc["out"], F.lit(-1)).endswith(","), F.lit(False))
+        suffix = t.rlike(r"(?i)^(esq|jr|md|m\.d|phd|ph\.d|sr)\.?,?$") & F.coalesce(F.try_element_at(acc["out"], F.lit(-1)).endswith(","), F.lit(False))
         numeral = t.rlike(r"^[IVX]{2,}\.?,?$")
         none = F.array().cast("array<string>")
-        out = F.when(acc["stop"] | suffix | numeral, acc["out"]).when(junk & (i * 2 < n - 1), none).when(junk, acc["out"]).otherwise(F.concat(acc["out"], F.array(t)))
-        return F.struct(out.alias("out"), (acc["stop"] | (junk & (i * 2 >= n - 1))).alias("stop"))
+        out = F.when(acc["stop"] | suffix | numeral, acc["out"]).when(junk & early, none).when(junk, acc["out"]).otherwise(F.concat(acc["out"], F.array(t)))
+        return F.struct(out.alias("out"), (acc["stop"] | (junk & ~early)).alias("stop"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("stop"))
-    return F.aggregate(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), start, step)["out"]
+    return F.aggregate(F.transform(toks, lambda t, i: F.struct(t.alias("t"), (i * 2 < F.size(toks) - 1).alias("early"))), start, step)["out"]
 
 
 def author_names(s: Column) -> Column:

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical as X
-
-HEADING = r"(?:^|[^\p{L}\p{N}_])(References?|REFERENCES?|Bibliography|BIBLIOGRAPHY|References?\x20+(?:and\x20+Notes?|Cited)|REFERENCES?\x20+(?:AND\x20+NOTES?|CITED)|LITERATURE\x20+CITED):?[\x09-\x0D\x20]*$"
-TAIL = r"^[\x09-\x0D\x20\d.]*(Acknowledge?ments?|Autobiographical|Tables?|Appendix|Exhibit|Annex|Fig|Notes?)"
+from ..functions.normalize import let
+
+_NAMES = ["Bibliography", "Literature Cited", "Reference", "References", "References Cited", "References and Notes", "References and Note"]
+_FOLLOWING = ["Annex", "Appendix", "Acknowledgement", "Acknowledgment", "Autobiographical", "Exhibit", "Fig", "Note", "Table"]
+#: A line that ends in a heading of references, in title case or capitals
+HEADING = r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(x.replace(" ", r"\x20+") for n in _NAMES for x in (n, n.upper())) + r"):?[\x09-\x0D\x20]*$"
+#: A line that begins another section, perhaps numbered
+TAIL = r"^[\x09-\x0D\x20\d.]*(?:" + "|".join(_FOLLOWING) + ")"
 TOO_LONG = 0.8
 
 
@@ -69,23 +74,34 @@ def first_per_tag(rows: DataFrame, key: str, tag: str, order: str, value: str) -
 def reference_split(docs: DataFrame) -> DataFrame:
     """doc_id, body, cite, oversized. The last heading line parts body (with it) and references; a following section ends
     them. oversized: references of 0.8 of the body or more; they are returned all the same."""
-    found = docs.select("doc_id", F.split(canonical_eol(F.coalesce("text", F.lit(""))), "\n", -1).alias("l"))
-    at = F.array_max(F.transform("l", lambda x, i: F.when(x.rlike(HEADING), i)))
-    found = found.withColumn("at", at)
-    rest = F.slice("l", F.col("at") + 2, F.greatest(F.size("l") - F.col("at") - 1, F.lit(0)))
-    found = found.withColumn("rest", F.when(F.col("at").isNull(), F.array().cast("array<string>")).otherwise(rest))
-    found = found.withColumn("end", F.array_min(F.transform("rest", lambda x, i: F.when(x.rlike(TAIL) & (i > 0), i))))
-    cut = F.when(F.col("end").isNotNull(), F.slice("rest", F.lit(1), F.col("end"))).otherwise(F.col("rest"))
-    body = F.array_join(F.when(F.col("at").isNull(), F.col("l")).otherwise(F.slice("l", F.lit(1), F.col("at") + 1)), "\n")
-    found = found.select("doc_id", body.alias("body"), F.array_join("rest", "\n").alias("whole"), F.array_join(cut, "\n").alias("part"))
-    big = F.length("whole") >= TOO_LONG * F.length("body")
-    return found.select("doc_id", "body", F.when(big | X.is_blank(F.col("part")), F.col("whole")).otherwise(F.col("part")).alias("cite"), (big & (F.length("whole") > 0)).alias("oversized"))
+    none = F.array().cast("array<string>")
+
+    def regions(l: Column) -> Column:
+        at = F.array_max(F.transform(l, lambda x, i: F.when(x.rlike(HEADING), i)))
+        return let(at, lambda h: let(F.when(h.isNull(), none).otherwise(F.slice(l, h + 2, F.greatest(F.size(l) - h - 1, F.lit(0)))), lambda rest: with_rest(l, h, rest)))
+
+    def with_rest(l: Column, h: Column, rest: Column) -> Column:
+        end = F.array_min(F.transform(rest, lambda x, i: F.when(x.rlike(TAIL) & (i > 0), i)))
+        cut = let(end, lambda e: F.when(e.isNotNull(), F.slice(rest, F.lit(1), e)).otherwise(rest))
+        body = F.array_join(F.when(h.isNull(), l).otherwise(F.slice(l, F.lit(1), h + 1)), "\n")
+        return let(F.struct(body.alias("body"), F.array_join(rest, "\n").alias("whole"), F.array_join(cut, "\n").alias("part")), chosen)
+
+    def chosen(r: Column) -> Column:
+        big = F.length(r["whole"]) >= TOO_LONG * F.length(r["body"])
+        cite = F.when(big | is_blank_text(r["part"]), r["whole"]).otherwise(r["part"])
+        return F.struct(r["body"].alias("body"), cite.alias("cite"), (big & (F.length(r["whole"]) > 0)).alias("oversized"))
+
+    return docs.select("doc_id", let(F.split(canonical_eol(F.coalesce("text", F.lit(""))), "\n", -1), regions).alias("r")).select("doc_id", "r.*")
+
+
+def is_blank_text(text: Column) -> Column:
+    return ~text.rlike(r"[^\x09-\x0D\x20]")
 
 
 def without_junk(lines: Column) -> Column:
     """Reference lines trimmed; blank ones go, and lines of digits unless the line before ended in a hyphen."""
     t = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
-    marked = F.transform(t, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(t, i - 1)).otherwise("").alias("before")))
+    marked = let(t, lambda t: F.transform(t, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(t, i - 1)).otherwise("").alias("before"))))
     return F.transform(F.filter(marked, lambda m: (m["x"] != "") & ~(m["x"].rlike("^[0-9]+$") & ~m["before"].endswith("-"))), lambda m: m["x"])
 
 
@@ -103,13 +119,16 @@ def marker_vote(cite: Column) -> Column:
     """The kind of marker at the beginning of most lines: at least one, and a sixth of the lines; UNKNOWN otherwise. Ties go
     in the order of MARKERS."""
     t = F.concat(F.lit("\n"), cite)
-    counts = {k: F.size(F.regexp_extract_all(t, F.lit(rf"\n[\x09-\x0D\x20]*{p}[^\n]{{10}}"), 0)) for k, p in MARKERS.items()}
-    n = F.size(F.split(cite, "\n", -1))
-    top = F.greatest(*counts.values())
-    out = F.when((top < 1) | (top * 6 < n), "UNKNOWN")
-    for k, c in counts.items():
-        out = out.when(c == top, k)
-    return out
+    counts = F.array(*[F.size(F.regexp_extract_all(t, F.lit(rf"\n[\x09-\x0D\x20]*{p}[^\n]{{10}}"), 0)) for p in MARKERS.values()], F.size(F.split(cite, "\n", -1)))
+
+    def kind(c: Column) -> Column:
+        top = F.greatest(*[c[i] for i in range(len(MARKERS))])
+        out = F.when((top < 1) | (top * 6 < c[len(MARKERS)]), "UNKNOWN")
+        for i, k in enumerate(MARKERS):
+            out = out.when(c[i] == top, k)
+        return out
+
+    return let(counts, kind)
 
 
 def split_by_marker(refs: DataFrame) -> DataFrame:

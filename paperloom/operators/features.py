@@ -31,14 +31,14 @@ def case_class(t: str) -> str:
 
 def number_class(t: str) -> str:
     w = bare(t)
-    for test, name in ((re.fullmatch("(19|20)[0-9][0-9]", w), "year"), (re.search("[0-9]-[0-9]", t), "possiblePage"), (re.search(r"[0-9]\([0-9]+\)", t), "possibleVol"), (re.fullmatch("[0-9]", w), "1dig"), (re.fullmatch("[0-9]{2}", w), "2dig"), (re.fullmatch("[0-9]{3}", w), "3dig"), (re.fullmatch("[0-9]+", w), "4+dig"), (re.fullmatch("[0-9]+(th|st|nd|rd)", w), "ordinal"), (re.search("[0-9]", w), "hasDig")):
+    for test, name in ((re.fullmatch("(19|20)[0-9]{2}", w), "year"), (re.search("[0-9]-[0-9]", t), "possiblePage"), (re.search(r"[0-9]\([0-9]{1,}\)", t), "possibleVol"), (re.fullmatch("[0-9]", w), "1dig"), (re.fullmatch("[0-9]{2}", w), "2dig"), (re.fullmatch("[0-9]{3}", w), "3dig"), (re.fullmatch("[0-9]+", w), "4+dig"), (re.fullmatch("[0-9]+(nd|rd|st|th)", w), "ordinal"), (re.search("[0-9]", w), "hasDig")):
         if test:
             return name
     return "nonNum"
 
 
 def punct_class(t: str) -> str:
-    for pattern, name in (("^[\"'`]", "leadQuote"), ("[\"'`][^s]?$", "endQuote"), ("-.*-", "multiHyphen"), ("[,:;-]$", "contPunct"), ("[!?.\"']$", "stopPunct"), (r"^[(\[{<].+[)\]}>].?$", "braces"), (r"^[0-9]{2,5}\([0-9]{2,5}\).?$", "possibleVol")):
+    for pattern, name in (("^[\"'`]", "leadQuote"), ("[\"'`][^s]?$", "endQuote"), ("-.*-", "multiHyphen"), ("[,:;-]$", "contPunct"), ("[!?.\"']$", "stopPunct"), (r"^[(\[{<].+[)\]}>].?$", "braces"), (r"(?a)^\d{2,5}\(\d{2,5}\).?$", "possibleVol")):
         if re.search(pattern, t):
             return name
     return "others"
@@ -47,7 +47,7 @@ def punct_class(t: str) -> str:
 def token_rows(tokens: list[str], mask: dict[str, int] | None = None) -> list[list[str]]:
     """23 columns a token: surface, last character, prefixes, suffixes, bare lower case, case, number, dictionary mask and
     its six bits, editor, place, punctuation."""
-    editor = "possibleEditors" if re.search(r"[^A-Za-z](ed\.|editor|eds\.)", " ".join(tokens)) else "noEditors"
+    editor = "possibleEditors" if re.search(r"[^a-zA-Z](editor|eds?\.)", " ".join(tokens)) else "noEditors"
     out, n = [], len(tokens)
     for j, t in enumerate(tokens):
         low = bare(t).lower()

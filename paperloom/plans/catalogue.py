@@ -65,12 +65,12 @@ def token_case_histogram(spark, sf_dir):
     return _histogram(_tokens(spark, sf_dir), X.case_class(F.col("tok")), "case_class")
 
 
-@query(rf"WITH {TOK}, w AS (SELECT tok, {BARE} AS w FROM tok) SELECT CASE WHEN regexp_matches(w, '^(19|20)[0-9][0-9]$') THEN 'year' WHEN regexp_matches(tok, '[0-9]-[0-9]') THEN 'possiblePage' WHEN regexp_matches(tok, '[0-9]\([0-9]+\)') THEN 'possibleVol' WHEN regexp_matches(w, '^[0-9]$') THEN '1dig' WHEN regexp_matches(w, '^[0-9][0-9]$') THEN '2dig' WHEN regexp_matches(w, '^[0-9][0-9][0-9]$') THEN '3dig' WHEN regexp_matches(w, '^[0-9]+$') THEN '4+dig' WHEN regexp_matches(w, '^[0-9]+(th|st|nd|rd)$') THEN 'ordinal' WHEN regexp_matches(w, '[0-9]') THEN 'hasDig' ELSE 'nonNum' END AS number_class, count(*) AS n FROM w GROUP BY 1")
+@query(rf"WITH {TOK}, w AS (SELECT tok, {BARE} AS w FROM tok) SELECT CASE WHEN regexp_matches(w, '^(19|20)\d\d$') THEN 'year' WHEN regexp_matches(tok, '[0-9]-[0-9]') THEN 'possiblePage' WHEN regexp_matches(tok, '\d\(\d+\)') THEN 'possibleVol' WHEN regexp_matches(w, '^[0-9]$') THEN '1dig' WHEN regexp_matches(w, '^[0-9][0-9]$') THEN '2dig' WHEN regexp_matches(w, '^[0-9][0-9][0-9]$') THEN '3dig' WHEN regexp_matches(w, '^[0-9]+$') THEN '4+dig' WHEN regexp_matches(w, '^\d+(nd|rd|st|th)$') THEN 'ordinal' WHEN regexp_matches(w, '[0-9]') THEN 'hasDig' ELSE 'nonNum' END AS number_class, count(*) AS n FROM w GROUP BY 1")
 def token_number_class(spark, sf_dir):
     return _histogram(_tokens(spark, sf_dir), X.number_class(F.col("tok")), "number_class")
 
 
-@query(rf"""WITH {TOK} SELECT CASE WHEN regexp_matches(tok, '^["''`]') THEN 'leadQuote' WHEN regexp_matches(tok, '["''`][^s]?$') THEN 'endQuote' WHEN regexp_matches(tok, '-.*-') THEN 'multiHyphen' WHEN regexp_matches(tok, '[,:;-]$') THEN 'contPunct' WHEN regexp_matches(tok, '[!?.]$') THEN 'stopPunct' WHEN regexp_matches(tok, '^[(\[{{<].+[)\]}}>].?$') THEN 'braces' WHEN regexp_matches(tok, '^[0-9]{{2,5}}\([0-9]{{2,5}}\).?$') THEN 'possibleVol' ELSE 'others' END AS punct_class, count(*) AS n FROM tok GROUP BY 1""")
+@query(rf"""WITH {TOK} SELECT CASE WHEN regexp_matches(tok, '^["''`]') THEN 'leadQuote' WHEN regexp_matches(tok, '["''`][^s]?$') THEN 'endQuote' WHEN regexp_matches(tok, '-.*-') THEN 'multiHyphen' WHEN regexp_matches(tok, '[,:;-]$') THEN 'contPunct' WHEN regexp_matches(tok, '[!?.]$') THEN 'stopPunct' WHEN regexp_matches(tok, '^[(\[{{<].+[)\]}}>].?$') THEN 'braces' WHEN regexp_matches(tok, '^\d{{2,5}}\(\d{{2,5}}\).?$') THEN 'possibleVol' ELSE 'others' END AS punct_class, count(*) AS n FROM tok GROUP BY 1""")
 def token_punct_class(spark, sf_dir):
     return _histogram(_tokens(spark, sf_dir), X.punct_class(F.col("tok")), "punct_class")
 
@@ -105,12 +105,12 @@ def line_punct_class(spark, sf_dir):
     return _histogram(_lines(spark, sf_dir), X.line_punct(F.col("text")), "line_punct")
 
 
-@query(rf"WITH {LIN}, t AS (SELECT toks[1] AS t, len(toks) > 1 AS m FROM lin) SELECT CASE WHEN m AND regexp_matches(t, '^[1-9]\.[1-9]\.?$') THEN 'posSubsec' WHEN m AND regexp_matches(t, '^[1-9]\.[1-9]\.[1-9]\.?$') THEN 'posSubsubsec' WHEN m AND regexp_matches(t, '^[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]\.[1-9]\.[1-9]\.?$') THEN 'posCategory' WHEN regexp_matches(t, '^[1-9][A-Za-z][\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]*$') THEN 'numFootnote' WHEN regexp_matches(t, '^[1-9](http|www)') THEN 'numWebfootnote' ELSE 'lineNumOthers' END AS line_number, count(*) AS n FROM t GROUP BY 1")
+@query(rf"WITH {LIN}, t AS (SELECT toks[1] AS t, len(toks) > 1 AS m FROM lin) SELECT CASE WHEN m AND regexp_matches(t, '^[1-9](\.[1-9])\.?$') THEN 'posSubsec' WHEN m AND regexp_matches(t, '^[1-9](\.[1-9]){{2}}\.?$') THEN 'posSubsubsec' WHEN m AND regexp_matches(t, '^[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}](\.[1-9]){{2}}\.?$') THEN 'posCategory' WHEN regexp_matches(t, '^[1-9][A-Za-z][\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]*$') THEN 'numFootnote' WHEN regexp_matches(t, '^[1-9](http|www)') THEN 'numWebfootnote' ELSE 'lineNumOthers' END AS line_number, count(*) AS n FROM t GROUP BY 1")
 def line_section_number(spark, sf_dir):
     return _histogram(_lines(spark, sf_dir), X.section_number(F.col("toks")), "line_number")
 
 
-@query(rf"WITH {LIN}, c AS (SELECT len(list_filter(toks, lambda t: regexp_matches(t, '^\p{{P}}*[a-zA-Z]+\p{{P}}*$'))) AS k FROM lin) SELECT CASE WHEN k >= 5 THEN '5+Words' ELSE k || 'Words' END AS bucket, count(*) AS n FROM c GROUP BY 1")
+@query(rf"WITH {LIN}, c AS (SELECT len(list_filter(toks, lambda t: regexp_matches(t, '^\p{{P}}*[A-Za-z]+\p{{P}}*$'))) AS k FROM lin) SELECT CASE WHEN k >= 5 THEN '5+Words' ELSE k || 'Words' END AS bucket, count(*) AS n FROM c GROUP BY 1")
 def line_word_bucket(spark, sf_dir):
     return _histogram(_lines(spark, sf_dir), X.word_bucket(F.col("toks")), "bucket")
 
