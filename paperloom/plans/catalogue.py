@@ -419,6 +419,13 @@ def merge_lines(spark, sf_dir):
     return docs.select("doc_id", D.merged(F.split(F.replace("text", F.lit("t "), F.lit("-\n")), "\n", -1)).alias("merged"))
 
 
+@query(r"SELECT doc_id, trim(replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), chr(10)), '([A-Za-z])-\n', '\1', 'g'), '-\n', '-', 'g'), chr(10), ' '), ' ') AS merged FROM (SELECT doc_id, regexp_replace(text, 't ', '-' || chr(10), 'g') AS text FROM documents)")
+def merge_lines_whole(spark, sf_dir):
+    """merge_lines over every document: long texts, texts with white space at their ends, and null texts (null) too."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", D.merged(F.split(F.replace("text", F.lit("t "), F.lit("-\n")), "\n", -1)).alias("merged"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN FALSE ELSE (o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR TRUE)) OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 END AS valid FROM orders")
 def valid_citation(spark, sf_dir):
     k = F.col("o_orderkey")
