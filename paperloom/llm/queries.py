@@ -43,6 +43,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.line_quality(documents(spark, sf_dir))
 
 
+def op4_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.shared_lines(documents(spark, sf_dir))
+
+
 def op5_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -67,5 +71,5 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op9_pii, op10_jpeg)}
-ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE, "op8_pfair": pfair.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash, op2_katz, op3_warc, op4_lines, op4_shared_lines, op5_nbsvm, op6_pieces, op7_tokens, op8_pfair, op9_pii, op10_jpeg)}
+ORACLE_SQL: dict[str, str] = {"op4_lines": linerules.ORACLE, "op4_shared_lines": linerules.SHARED_ORACLE, "op8_pfair": pfair.ORACLE}
