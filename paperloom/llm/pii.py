@@ -1,9 +1,9 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Base spans come from fixed patterns (e-mail, IPv4, card numbers with a Luhn check, international phone numbers). High-recall
-generators propose further, overlapping candidates: tokens that mix letters and digits, and groups of digits with
-separators. Boosted trees score a candidate from its format (length, digits, capitals, separators, ...) and its context (cue
-words before it); of overlapping candidates the best score wins, and those above the threshold become spans of kind
+generators propose further, overlapping candidates: tokens that mix letters and digits, and, from every group of digits
+outside base spans, phone and card shapes and as many groups as have 19 digits. Boosted trees score a candidate from its format (length, digits, capitals, separators, ...) and its context (cue
+words before it); of overlapping candidates the best score wins (the best first), and those above the threshold become spans of kind
 secret or number. A candidate that overlaps a base span is dropped; base spans always stay.
 
 The trees are trained here, on examples that a seeded generator makes; the threshold is the lowest at which held-out examples reach the target
@@ -31,12 +31,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # tokens with letters and digits, of six characters or more; separated groups of digits
 TOKEN = r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{6,}+"
-GROUP = r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+(?![0-9A-Za-z])"
+# a number may begin at every digit group; AHEAD is START with what follows as its group 1, longer than any of NUMBERS
+START = r"(?<![0-9A-Za-z])\+?\(?[0-9]++"
+AHEAD = r"(?<![0-9A-Za-z])(?=(\+?\(?[0-9][\x20().0-9-]{0,63}+[A-Za-z]?))\+?\(?[0-9]++"
+PREFIXED = r"(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}"
+# in fours, with and without a shorter last group; in 4-6-5; one group; as many groups as have 19 digits
+NUMBERS = [r"[0-9]{4}(?:[\x20-][0-9]{4}){3}", r"[0-9]{4}(?:[\x20-][0-9]{4}){3}[\x20-][0-9]{1,3}", r"[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}", r"[0-9]{6,19}", r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,18}"]
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "number")
 CONTEXT = 24  # characters before a candidate that are searched for cue words
 CUES = {"secret": r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api.?key|\bkey|credential|bearer|auth)\W*$", "number": r"(?i)(?:phone|tel|call|fax|mobile|ssn|social|passport|account|iban|id|nr|no)\W*$"}
-FEATURES = ("length", "digits", "upper", "lower", "marks", "runs", "cue", "leading", "equal_tail", "hexed", "grouped")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "runs", "cue", "leading", "equal_tail", "hexed", "grouped", "luhn")
 PRECISION = 0.995
 
 
@@ -47,11 +52,13 @@ def before(values: Column) -> Column:
     """For each element the sum of those before it; two levels of 64, so long arrays stay near linear."""
 
     def sums(v: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")))
+        # a slice takes time in proportion to the array it is of, so elements are added within their chunk
+        count = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int"))
         add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-        of_chunk = F.transform(chunks, lambda j: add(F.slice(v, j * 64 + 1, 64)))
-        starts = lambda c: F.transform(c, lambda _, j: F.when(j == 0, F.lit(0).cast("long")).otherwise(add(F.slice(c, 1, j))))
-        return let(let(of_chunk, starts), lambda s: F.transform(v, lambda _, i: F.get(s, F.shiftright(i, 6)) + F.when(i % 64 == 0, F.lit(0).cast("long")).otherwise(add(F.slice(v, F.shiftright(i, 6) * 64 + 1, i % 64)))))
+        firsts = lambda c, n: F.when(n == 0, F.lit(0).cast("long")).otherwise(add(F.slice(c, 1, n)))
+        starts = lambda c: F.transform(c, lambda _, j: firsts(c, j))
+        chunks = F.transform(F.sequence(F.lit(0), count), lambda j: F.slice(v, j * 64 + 1, 64))
+        return let(chunks, lambda cs: let(let(F.transform(cs, add), starts), lambda s: F.flatten(F.transform(cs, lambda c, j: F.transform(c, lambda _, i: F.get(s, j) + firsts(c, i))))))
 
     return let(values, sums)
 
@@ -109,6 +116,10 @@ def base_spans(text: Column) -> Column:
 _COUNTED = {"digits": "[^0-9]", "upper": "[^A-Z]", "lower": "[^a-z]", "marks": r"[A-Za-z0-9\x20]"}
 
 
+def _luhn(hit: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed([c for c in hit if c.isdigit()]))) % 10 == 0
+
+
 def example_features(before_text: str, hit: str, kind: str) -> list[float]:
     import re
 
@@ -118,7 +129,8 @@ def example_features(before_text: str, hit: str, kind: str) -> list[float]:
     f["leading"] = 1 if re.match(r"AKIA|gh[pousr]_|sk-|xox[bp]-|eyJ|[A-Z]{2}[0-9]{2}", hit) else 0
     f["equal_tail"] = 1 if hit.endswith("=") else 0
     f["hexed"] = 1 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", hit) else 0
-    f["grouped"] = 1 if re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}", hit) else 0
+    f["grouped"] = 1 if re.fullmatch(PREFIXED, hit) else 0
+    f["luhn"] = 1 if re.fullmatch(r"[0-9\x20-]+", hit) and 13 <= f["length"] - len(re.sub("[0-9]", "", hit)) <= 19 and _luhn(hit) else 0
     return [float(f[k]) for k in FEATURES]
 
 
@@ -129,7 +141,8 @@ def column_features(before_text: Column, hit: Column, kind: str) -> Column:
     f["leading"] = hit.rlike(r"^(?:AKIA|gh[pousr]_|sk-|xox[bp]-|eyJ|[A-Z]{2}[0-9]{2})").cast("int")
     f["equal_tail"] = hit.endswith("=").cast("int")
     f["hexed"] = hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int")
-    f["grouped"] = hit.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}$").cast("int")
+    f["grouped"] = hit.rlike(rf"^{PREFIXED}$").cast("int")
+    f["luhn"] = F.when(hit.rlike(r"^[0-9\x20-]+$") & F.length(digits_of(hit)).between(13, 19), let(digits_of(hit), luhn).cast("int")).otherwise(0)
     return F.array(*[f[k].cast("double") for k in FEATURES])
 
 
@@ -140,6 +153,14 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[list[float], int]]:
     alnum = lambda k, a: "".join(r.choice(a) for _ in range(k))
     prose = ["and the ", "of 12 ", "see ", "", "in version ", "about ", "was, ", "chapter ", "Licensed under "]
     cue = {"secret": ["password=", "token: ", 'api_key = "', "secret key ", "Bearer ", 'token = "'], "number": ["phone ", "call ", "tel. ", "SSN ", "account no ", "Tel: "]}[kind]
+
+
+    def card(valid: bool) -> str:
+        while _luhn(c := d(r.choice([15, 16, 16, 16, 19]))) != valid:
+            pass
+        cuts = r.choice([(), (4, 10) if len(c) == 15 else (4, 8, 12, 16)])
+        return r.choice(" -").join(c[a:b] for a, b in zip((0, *cuts), (*cuts, len(c))) if a < len(c))
+
     out = []
     for _ in range(n):
         good, cued = r.random() < 0.5, r.random() < 0.4
@@ -153,10 +174,10 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[list[float], int]]:
                 hit = r.choice([lambda: alnum(r.randrange(4, 12), string.ascii_lowercase) + d(r.randrange(1, 3)), lambda: "-".join(alnum(r.randrange(2, 9), string.ascii_lowercase) for _ in range(r.randrange(2, 6))) + "-" + d(1), lambda: d(4) + "-" + d(2) + "-" + d(2), lambda: d(r.randrange(6, 11)), lambda: alnum(1, string.ascii_uppercase) + alnum(7, string.ascii_lowercase) + d(2), lambda: "CC-BY-" + d(1), lambda: "http/" + alnum(12, string.ascii_lowercase) + d(1), lambda: alnum(r.randrange(6, 12), string.ascii_lowercase) + "/" + d(2)])()
                 cued = cued and r.random() < 0.1
         elif good:
-            hit = r.choice([lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-555-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: d(r.randrange(9, 12))])()
+            hit = r.choice([lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-555-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: d(r.randrange(9, 12)), lambda: f"+{d(r.randrange(1, 3))} ({d(3)}) 555-{d(4)}", lambda: card(True)])()
             cued = cued or hit.isdigit()
         else:
-            hit = r.choice([lambda: d(r.randrange(6, 16)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(3)}", lambda: " ".join(d(r.randrange(1, 4)) for _ in range(r.randrange(4, 9))), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(5)}", lambda: f"{d(5)}.{d(2)}"])()
+            hit = r.choice([lambda: d(r.randrange(6, 16)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(3)}", lambda: " ".join(d(r.randrange(1, 4)) for _ in range(r.randrange(4, 9))), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(5)}", lambda: f"{d(5)}.{d(2)}", lambda: card(False)])()
             cued = False
         out.append((example_features(r.choice(cue if cued else prose), hit, kind), int(good)))
     return out
@@ -227,26 +248,53 @@ def margin(forest: tuple, f: Column) -> Column:
     return total
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """text with every character of a span as an underscore, which belongs to no candidate number and no cue word."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,past:bigint>>")
+    step = lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), a["past"].alias("past")))).alias("out"), F.greatest(a["past"], x["end"]).alias("past"))
+    part = lambda a, b: F.when(b > a, F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+    filled = lambda r: F.concat(F.array_join(F.transform(r["out"], lambda x: F.concat(part(x["past"], x["start"]), F.repeat(F.lit("_"), F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], x["past"])).cast("int")))), ""), part(r["past"], F.length(text).cast("long")))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(ordered, F.struct(none.alias("out"), F.lit(0).cast("long").alias("past")), step), filled))
+
+
 def extra_spans(text: Column, base: Column) -> Column:
     """Candidates that score above their threshold, overlap no base span, and no better candidate."""
 
-    def kind(name: str, pattern: str, ok: Callable[[Column], Column]) -> Column:
-        forest, threshold = model(name)
+    def scored(name: str, x: Column, context: Column) -> Column:
+        forest, _ = model(name)
+        return let(column_features(context, x["hit"], name), lambda f: F.struct(margin(forest, f).alias("score"), F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+
+    def likely(name: str, all_: Column) -> Column:
+        return F.filter(all_, lambda x: x["score"] >= model(name)[1])
+
+    def context(x: Column) -> Column:
+        start = F.greatest(x["start"] - CONTEXT, F.lit(0))
+        return F.substr(text, (start + 1).cast("int"), (x["start"] - start).cast("int"))
+
+    tokens = F.filter(found(text, TOKEN), lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    mixed = likely("secret", F.transform(tokens, lambda x: scored("secret", x, context(x))))
+
+    def numbers(t: Column, pieces: Column, windows: Column) -> Column:
+        # cue words stand after the digits before them, so what lies between two groups is context enough
+        def at(x: Column, i: Column) -> Column:
+            def hits(w: Column) -> Column:
+                plus = F.when(w.startswith("+"), 1).otherwise(0)
+                some = lambda shapes, v, skip: F.transform(F.filter(F.array(*[F.regexp_extract(v, rf"^{p}(?![0-9A-Za-z])", 0) for p in shapes]), lambda h: h != ""), lambda h: F.struct((x["start"] + skip).alias("start"), (x["start"] + skip + F.length(h)).alias("end"), h.alias("hit")))
+                return F.array_distinct(F.concat(some([PREFIXED], w, 0), let(F.ltrim(w, F.lit("+")), lambda v: some(NUMBERS + [PREFIXED], v, plus))))
 
-        def scored(x: Column) -> Column:
-            start = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            context = F.substr(text, (start + 1).cast("int"), (x["start"] - start).cast("int"))
-            return let(column_features(context, x["hit"], name), lambda f: F.struct(margin(forest, f).alias("score"), F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+            return F.transform(let(F.get(windows, i), hits), lambda h: scored("number", h, F.right(F.get(pieces, i), F.lit(CONTEXT))))
 
-        kept = F.filter(found(text, pattern), lambda x: ok(x["hit"]) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.filter(F.transform(kept, scored), lambda x: x["score"] >= threshold)
+        return F.flatten(F.transform(found(t, START), at))
 
-    mixed = kind("secret", TOKEN, lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]"))
-    number = kind("number", GROUP, lambda h: F.length(digits_of(h)) <= 19)
+    number = let(masked(text, base), lambda t: let(F.split(t, START, -1), lambda p: let(F.regexp_extract_all(t, F.lit(AHEAD), 1), lambda w: likely("number", numbers(t, p, w)))))
 
     def settled(all_: Column) -> Column:
-        better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["kind"] > x["kind"])))
-        return F.filter(all_, lambda x: ~F.exists(all_, lambda y: better(x, y)))
+        # the best first; then the longer, the earlier. One that overlaps none of those taken is taken
+        ordered = F.sort_array(F.transform(all_, lambda x: F.struct((-x["score"]).alias("worse"), (x["start"] - x["end"]).alias("shorter"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["hit"].alias("hit"))))
+        none = F.array().cast("array<struct<worse:double,shorter:bigint,start:bigint,end:bigint,kind:string,hit:string>>")
+        taken = F.aggregate(ordered, none, lambda a, x: F.when(F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), a).otherwise(F.concat(a, F.array(x))))
+        return F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["hit"].alias("hit"))))
 
     spans = let(F.concat(mixed, number), settled)
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
@@ -291,5 +339,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         tail = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
         return F.concat(F.array_join(pieces, ""), let(tail, lambda e: F.substr(t, (e + 1).cast("int"), F.length(t))))
 
-    new = let(spans_of(text), lambda s: let(F.concat(s["base"], s["extra"]), lambda a: F.when(F.size(a) == 0, text).otherwise(cut(text, a))))
-    return docs.withColumn("text", F.when(text.isNull(), text).otherwise(new))
+    # the spans are a column of their own: one expression of both would pass the analyzer's limit of steps
+    rows = docs.withColumn("_spans", spans_of(text)).withColumn("_spans", F.concat("_spans.base", "_spans.extra"))
+    spans = F.col("_spans")
+    return rows.withColumn("text", F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(cut(text, spans))).drop("_spans")

@@ -1,0 +1,20 @@
+from paperloom.llm import pii
+
+
+def test_neighbouring_numbers(spark):
+    want = {
+        1: ("tel 988-555-2485 988-555-2486 or", ["988-555-2485", "988-555-2486"]),
+        2: ("nea. 7536784127813050 4845168114407329 tre", ["7536784127813050", "4845168114407329"]),
+        3: ("es +1 (826) 555-4081 190.137.223.204 du", ["190.137.223.204", "+1 (826) 555-4081"]),
+        4: ("in 2004 (988) 555-2485, he", ["(988) 555-2485"]),
+        5: ("(988) 555-2485 " * 40, ["(988) 555-2485"] * 40),
+        6: ("é 𝔘 a@b.co (988) 555-2485+1 (826) 555-4081", ["a@b.co", "+1 (826) 555-4081", "(988) 555-2485"]),
+        7: ("the 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 of 2004 2005 2006 2007 2008 2009", []),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in want.items()], "doc_id long, text string")
+    for r in pii.personal_data(df).collect():
+        text, hits = want[r.doc_id]
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [text[int(s) : int(e)] for _, s, e in spans] == hits, (r.doc_id, r.spans)
+    texts = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert texts[2] == "nea. <number> <number> tre" and texts[3] == "es <number> <ip> du"
