@@ -129,7 +129,7 @@ def _writer(folder: str, dictionary: bytes):
             for whole in batches:
                 for b in slices(whole, "html", 1 << 22):
                     if out is None:
-                        out = where.open_output_stream(posixpath.join(base, name))
+                        out = where.open_output_stream(posixpath.join(base, name), compression=None)  # the name would have it compressed again
                         out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)
                         at = 8 + len(dictionary)
                     data, ends = column(b.column(2))
@@ -184,7 +184,7 @@ def _reader(folder: str):
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows, size = [], 0
-                with where.open_input_stream(posixpath.join(base, name)) as f:
+                with where.open_input_stream(posixpath.join(base, name), compression=None) as f:
                     for at, raw in records(f):
                         fields, http, payload = parse(raw)
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
@@ -210,7 +210,8 @@ def read_archive(folder: str, files: DataFrame) -> DataFrame:
     for revisits), file, offset.
     """
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, offset long"
-    return files.select("file").distinct().repartition("file").mapInArrow(_reader(folder), out)
+    names = files.select("file").distinct()
+    return names.repartition(max(1, names.count())).mapInArrow(_reader(folder), out)  # a task a file
 
 
 def archive_digests(pages: DataFrame, at_least: int = 0) -> DataFrame:

@@ -55,6 +55,30 @@ def test_layout(spark, sf):
     assert payloads == {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
 
 
+def test_single_records_of_every_file(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    folder, manifest = warc.write_archive(pages.repartition(5))
+    rows, html = manifest.collect(), {r.page_id: r.html for r in pages.collect()}
+    assert len({r.file for r in rows}) == 5
+    for name in {r.file for r in rows}:
+        with open(f"{folder.removeprefix('file://')}/{name}", "rb") as f:  # plain file access: nothing undoes a compression
+            magic, size = struct.unpack("<II", f.read(8))
+            assert magic == warc.MAGIC and size
+            maker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(f.read(size)))
+            mine, end = sorted((r for r in rows if r.file == name), key=lambda r: r.offset), 8 + size
+            for r in mine:
+                assert r.offset == end  # record follows record
+                f.seek(r.offset)
+                one = f.read(r.length)
+                assert zstandard.get_frame_parameters(one).dict_id
+                fields, _, payload = warc.parse(maker.decompress(one))
+                assert int(fields["page-id"]) == r.page_id
+                assert fields["warc-type"] == "revisit" or payload.decode() == html[r.page_id]
+                end += r.length
+            assert f.read() == b""
+    assert warc.read_archive(folder, manifest).rdd.getNumPartitions() == 5
+
+
 def test_broken_archives():
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(b"\x28\xb5\x2f\xfd" + b"\0" * 20)))
