@@ -6,6 +6,8 @@ each has a twin in the SQL that checks it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ BLANK = r"[\x09-\x0D\x20]+"
 W = r"\p{L}\p{M}\p{N}\p{Pc}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once. Without it, nested uses would multiply the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_of(*cases: tuple[Column, str], default: str) -> Column:
     """The name of the first case that holds."""
     out = None
@@ -67,7 +74,8 @@ def case_class(tok: Column) -> Column:
 
 
 def number_class(tok: Column, line_style: bool = False) -> Column:
-    """What kind of number a token is. line_style puts the two ending classes of line models first."""
+    """What kind of number a token is. line_style puts the two ending classes of line models first. Every class but the last
+    has a digit, so most tokens cost one search."""
     w = bare(tok)
     cases = [
         (w.rlike(r"^(19|20)\d\d$"), "year"),
@@ -82,7 +90,7 @@ def number_class(tok: Column, line_style: bool = False) -> Column:
     ]
     if line_style:
         cases = [(tok.rlike(r"^[0-9]+\.$"), "endDot"), (tok.rlike("^[0-9]+:$"), "endCol"), *cases]
-    return first_of(*cases, default="nonNum")
+    return F.when(~tok.rlike("[0-9]"), "nonNum").otherwise(first_of(*cases, default="nonNum"))
 
 
 def punct_class(tok: Column) -> Column:
@@ -132,21 +140,25 @@ def line_punct(line: Column) -> Column:
 
 def word_bucket(toks: Column) -> Column:
     n = F.size(F.filter(toks, lambda t: t.rlike(r"^\p{P}*[A-Za-z]+\p{P}*$")))
-    return F.when(n >= 5, "5+Words").otherwise(F.concat(n.cast("string"), F.lit("Words")))
+    return let(n, lambda k: F.when(k >= 5, "5+Words").otherwise(F.concat(k.cast("string"), F.lit("Words"))))
 
 
 def capital_pattern(toks: Column) -> Column:
     """Whether all long words of a line are capitalised, in initials or throughout."""
-    words = F.filter(toks, lambda t: ~t.rlike(r"^\p{P}*$"))
-    long_ = F.filter(words, lambda t: F.length(t) >= 4)
-    caps = F.filter(long_, lambda t: t.rlike("^[A-Z][A-Za-z]*$"))
-    first = F.coalesce(F.get(toks, F.lit(0)), F.lit(""))
-    numbered = first.rlike("[0-9]")
-    short = F.size(words) - F.size(long_)
-    skipped = short - F.when(numbered & (F.length(first) < 4) & ~first.rlike(r"^\p{P}*$"), 1).otherwise(0) > 0
-    name = F.concat(F.when(skipped, "Most").otherwise("All"), F.when(F.exists(caps, lambda t: t.rlike("[a-z]")), "InitCaps").otherwise("CharCaps"))
-    n = F.size(caps)
-    return F.when((n == 0) | (n != F.size(long_)), "OthersCaps").when(numbered, F.concat(F.lit("number"), name)).when(n == 1, "OthersCaps").otherwise(name)
+
+    def pattern(words: Column, long_: Column, caps: Column) -> Column:
+        first = F.coalesce(F.get(toks, F.lit(0)), F.lit(""))
+        numbered = first.rlike("[0-9]")
+        short = F.size(words) - F.size(long_)
+        skipped = short - F.when(numbered & (F.length(first) < 4) & ~first.rlike(r"^\p{P}*$"), 1).otherwise(0) > 0
+        name = F.concat(F.when(skipped, "Most").otherwise("All"), F.when(F.exists(caps, lambda t: t.rlike("[a-z]")), "InitCaps").otherwise("CharCaps"))
+        n = F.size(caps)
+        return F.when((n == 0) | (n != F.size(long_)), "OthersCaps").when(numbered, F.concat(F.lit("number"), name)).when(n == 1, "OthersCaps").otherwise(name)
+
+    def with_words(words: Column) -> Column:
+        return let(F.filter(words, lambda t: F.length(t) >= 4), lambda long_: let(F.filter(long_, lambda t: t.rlike("^[A-Z][A-Za-z]*$")), lambda caps: pattern(words, long_, caps)))
+
+    return let(F.filter(toks, lambda t: ~t.rlike(r"^\p{P}*$")), with_words)
 
 
 def digit_ratio(tok: Column) -> Column:
@@ -156,22 +168,30 @@ def digit_ratio(tok: Column) -> Column:
 
 def function_word_count(toks: Column, words: list[str]) -> Column:
     n = F.size(F.filter(toks, lambda t: F.lower(t).isin(words)))
-    return F.when(n == 0, "No").when(n <= 5, "Few").otherwise("Alot")
+    return let(n, lambda k: F.when(k == 0, "No").when(k <= 5, "Few").otherwise("Alot"))
 
 
 def canonical(tok: Column) -> Column:
     """Token for n-grams: outer punctuation off, digits to 0, words of a mail's local part to x."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(tok, r"^\p{P}+", ""), r"\p{P}+$", ""), "[0-9]", "0")
-    local, domain = F.regexp_extract(t, rf"([{W}].*)@(.*\..*)", 1), F.regexp_extract(t, rf"([{W}].*)@(.*\..*)", 2)
-    return F.when(t.rlike(rf"[{W}].*@.*\."), F.concat(F.regexp_replace(local, f"[{W}]+", "x"), F.lit("@"), domain)).otherwise(t)
+    mail = rf"([{W}].*)@(.*\..*)"
+    spelled = lambda x: F.concat(F.regexp_replace(F.regexp_extract(x, mail, 1), f"[{W}]+", "x"), F.lit("@"), F.regexp_extract(x, mail, 2))
+    return let(t, lambda x: F.when(F.contains(x, F.lit("@")) & x.rlike(rf"[{W}].*@.*\."), spelled(x)).otherwise(x))
 
 
 def ngrams(toks: Column, n: int, stop: list[str] | None = None, limit: int = 4) -> Column:
-    """The first limit n-grams of a line that aren't digits only or function words."""
-    t = F.filter(F.transform(toks, canonical), lambda x: x != "")
-    grams = F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - n + 1)), lambda i: F.array_join(F.slice(t, i, n), "-")))
-    ok = F.filter(grams, lambda g: ~g.rlike("^[0-9]*$") & (~g.isin(stop) if stop else F.lit(True)))
-    return F.slice(ok, 1, limit)
+    """The first limit n-grams of a line that aren't digits only or function words. Every token is made canonical once, and
+    of n > 1 no more tokens than the result can need: their hyphens keep such n-grams from being digits only."""
+    words = F.filter(toks, lambda t: ~t.rlike(r"^\p{P}*$"))  # the others have nothing left
+    if n > 1 and not any("-" in s for s in stop or []):
+        words = F.slice(words, 1, limit + n - 1)
+
+    def grams(t: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), "-")) if n > 1 else t
+        ok = F.filter(made, lambda g: ~g.rlike("^[0-9]*$") & (~g.isin(stop) if stop else F.lit(True)))
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.slice(ok, 1, limit))
+
+    return let(F.transform(words, canonical), grams)
 
 
 def edge_tokens(toks: Column) -> Column:

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"\p{Lu}\p{Ll}"
-
+from .lexical import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once. Without it, nested uses would multiply the expression."""
-    return F.transform(F.array(value), body)[0]
+WORD = r"\p{Lu}\p{Ll}"
 
 
 def strip_punctuation(s: Column, rounds: int = 4) -> Column:

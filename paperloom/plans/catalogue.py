@@ -52,6 +52,13 @@ def _histogram(rows, column, name):
     return rows.groupBy(column.alias(name)).agg(F.count("*").alias("n"))
 
 
+def _token_histogram(spark, sf_dir, feature, name):
+    """Counts of a token feature. Equal tokens are counted first, before the shuffle too, so the feature is computed once a
+    distinct token."""
+    counts = _tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("n"))
+    return counts.groupBy(feature(F.col("tok")).alias(name)).agg(F.sum("n").alias("n"))
+
+
 # ---- lines and tokens
 
 
@@ -62,29 +69,30 @@ def line_explode_counts(spark, sf_dir):
 
 @query(rf"WITH {TOK}, w AS (SELECT {BARE} AS w FROM tok) SELECT CASE WHEN regexp_matches(w, '^\p{{Lu}}$') THEN 'singleCap' WHEN regexp_matches(w, '^\p{{Lu}}\p{{Ll}}') THEN 'InitCap' WHEN w = '' OR regexp_matches(w, '^\p{{Lu}}+$') THEN 'AllCap' ELSE 'others' END AS case_class, count(*) AS n FROM w GROUP BY 1")
 def token_case_histogram(spark, sf_dir):
-    return _histogram(_tokens(spark, sf_dir), X.case_class(F.col("tok")), "case_class")
+    return _token_histogram(spark, sf_dir, X.case_class, "case_class")
 
 
 @query(rf"WITH {TOK}, w AS (SELECT tok, {BARE} AS w FROM tok) SELECT CASE WHEN regexp_matches(w, '^(19|20)\d\d$') THEN 'year' WHEN regexp_matches(tok, '[0-9]-[0-9]') THEN 'possiblePage' WHEN regexp_matches(tok, '\d\(\d+\)') THEN 'possibleVol' WHEN regexp_matches(w, '^[0-9]$') THEN '1dig' WHEN regexp_matches(w, '^[0-9][0-9]$') THEN '2dig' WHEN regexp_matches(w, '^[0-9][0-9][0-9]$') THEN '3dig' WHEN regexp_matches(w, '^[0-9]+$') THEN '4+dig' WHEN regexp_matches(w, '^\d+(nd|rd|st|th)$') THEN 'ordinal' WHEN regexp_matches(w, '[0-9]') THEN 'hasDig' ELSE 'nonNum' END AS number_class, count(*) AS n FROM w GROUP BY 1")
 def token_number_class(spark, sf_dir):
-    return _histogram(_tokens(spark, sf_dir), X.number_class(F.col("tok")), "number_class")
+    return _token_histogram(spark, sf_dir, X.number_class, "number_class")
 
 
 @query(rf"""WITH {TOK} SELECT CASE WHEN regexp_matches(tok, '^["''`]') THEN 'leadQuote' WHEN regexp_matches(tok, '["''`][^s]?$') THEN 'endQuote' WHEN regexp_matches(tok, '-.*-') THEN 'multiHyphen' WHEN regexp_matches(tok, '[,:;-]$') THEN 'contPunct' WHEN regexp_matches(tok, '[!?.]$') THEN 'stopPunct' WHEN regexp_matches(tok, '^[(\[{{<].+[)\]}}>].?$') THEN 'braces' WHEN regexp_matches(tok, '^\d{{2,5}}\(\d{{2,5}}\).?$') THEN 'possibleVol' ELSE 'others' END AS punct_class, count(*) AS n FROM tok GROUP BY 1""")
 def token_punct_class(spark, sf_dir):
-    return _histogram(_tokens(spark, sf_dir), X.punct_class(F.col("tok")), "punct_class")
+    return _token_histogram(spark, sf_dir, X.punct_class, "punct_class")
 
 
 @query(rf"WITH {TOK} SELECT CASE WHEN regexp_matches(right(tok, 1), '\p{{Ll}}') THEN 'a' WHEN regexp_matches(right(tok, 1), '\p{{Lu}}') THEN 'A' WHEN regexp_matches(right(tok, 1), '[0-9]') THEN '0' ELSE right(tok, 1) END AS last_char, count(*) AS n FROM tok GROUP BY 1")
 def token_last_char_class(spark, sf_dir):
-    return _histogram(_tokens(spark, sf_dir), X.last_char_class(F.col("tok")), "last_char")
+    return _token_histogram(spark, sf_dir, X.last_char_class, "last_char")
 
 
 @query(f"WITH {TOK}, a AS (SELECT 'p' || k AS side, left(tok, k) AS affix FROM tok, unnest([1, 2, 3, 4]) AS u(k) UNION ALL SELECT 's' || k, right(tok, k) FROM tok, unnest([1, 2, 3, 4]) AS u(k)), c AS (SELECT side, affix, count(*) AS n FROM a GROUP BY 1, 2) SELECT side, affix, n, row_number() OVER (PARTITION BY side ORDER BY n DESC, affix) AS rank FROM c QUALIFY rank <= 20")
 def token_affixes_top(spark, sf_dir):
     t = F.col("tok")
     parts = [F.struct(F.lit(f"{s}{k}").alias("side"), f(t, k).alias("affix")) for k in range(1, 5) for s, f in (("p", X.prefix), ("s", X.suffix))]
-    counts = _tokens(spark, sf_dir).select(F.explode(F.array(*parts)).alias("a")).groupBy("a.side", "a.affix").agg(F.count("*").alias("n"))
+    words = _tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("c"))
+    counts = words.select("c", F.explode(F.array(*parts)).alias("a")).groupBy("a.side", "a.affix").agg(F.sum("c").alias("n"))
     return T.top_words(counts, "side", "affix", "n", 20).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -157,7 +165,7 @@ def function_words(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT CASE WHEN r >= 0.7 THEN 'High' WHEN r >= 0.4 THEN 'Medium' ELSE 'Low' END AS ratio, count(*) AS n FROM (SELECT length(regexp_replace(tok, '[^0-9]', '', 'g')) / length(tok) AS r FROM tok) GROUP BY 1")
 def token_digit_ratio(spark, sf_dir):
-    return _histogram(_tokens(spark, sf_dir), X.digit_ratio(F.col("tok")), "ratio")
+    return _token_histogram(spark, sf_dir, X.digit_ratio, "ratio")
 
 
 @query(f"WITH {LIN}, p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM lin) SELECT CASE WHEN i = 0 OR n <= 1 THEN 0 ELSE CAST(ceil(i * 10 / (n - 1)) AS INTEGER) END AS decile, count(*) AS n FROM p GROUP BY 1")
@@ -185,7 +193,7 @@ def gazetteer_bits(spark, sf_dir):
     for p in parts[1:]:
         gaz = gaz.unionByName(p)
     # counting words first keeps the join small: a row for each distinct word
-    toks = _tokens(spark, sf_dir).groupBy(X.bare_lower(F.col("tok")).alias("word")).agg(F.count("*").alias("c"))
+    toks = _tokens(spark, sf_dir).groupBy("tok").agg(F.count("*").alias("c")).groupBy(X.bare_lower(F.col("tok")).alias("word")).agg(F.sum("c").alias("c"))
     return T.with_gazetteer(toks, T.gazetteer(gaz)).groupBy("mask").agg(F.sum("c").alias("n"))
 
 
