@@ -2,6 +2,9 @@ import random
 import re
 from itertools import combinations
 
+import pytest
+
+from paperloom.llm import minhash
 from paperloom.llm.minhash import components, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,8 +34,8 @@ def brute(rows, k=2, percent=80):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def result(df, k=2):
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k=k).collect()}
+def result(df, k=2, percent=80):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k, percent).collect()}
 
 
 def test_driver_table_against_all_pairs(spark, sf):
@@ -56,6 +59,48 @@ def test_chains_and_dense_groups_against_all_pairs(spark):
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
 
 
+@pytest.mark.parametrize("percent", [60, 45, 92])
+def test_other_similarities_against_all_pairs(spark, percent):
+    rnd, rows = random.Random(percent), []
+    for _ in range(60):  # pairs around the limit, and some groups
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(30, 90))]
+        for _ in range(rnd.randrange(2, 5)):
+            t = list(base)
+            for _ in range(int(len(t) * (100 - percent) / 100 * rnd.uniform(0.1, 0.5))):
+                t[rnd.randrange(len(t))] = f"n{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    want = brute(rows, 2, percent)
+    assert 20 < sum(c != i for i, (_, c) in want.items()) < len(rows) - 60
+    assert result(spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS), 2, percent) == {i: (n, c, c == i) for i, (n, c) in want.items()}
+
+
+def test_banding():
+    assert minhash.banding(80)[:2] == (40, 5)
+    for percent in (8, 30, 60, 79, 81, 100):
+        bands, rows, least = minhash.banding(percent)
+        assert bands * rows <= minhash.MOST and (1 - (percent / 100) ** rows) ** bands <= minhash.MISS and least <= percent / 100
+    for percent in (0, 5, 101, -3):
+        with pytest.raises(ValueError):
+            minhash.banding(percent)
+
+
+def test_hot_buckets_of_one_template(spark, monkeypatch):
+    for name, value in (("HOT", 12), ("BLOCK", 8), ("MEMBERS", 3)):
+        monkeypatch.setattr(minhash, name, value)
+    rnd, rows = random.Random(8), []
+    template = [f"t{i}" for i in range(70)]
+    for _ in range(80):  # all share most of a template; every third has a near copy of its own
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randrange(14, 30))]
+        rows.append((len(rows), " ".join(template + own)))
+        if rnd.random() < 0.4:
+            own[rnd.randrange(len(own))] = "changed"
+            rows.append((len(rows), " ".join(template + own)))
+    rnd.shuffle(rows)
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 20
+    assert result(spark.createDataFrame([(i, t, "s", "x") for i, t in rows], DOCS)) == {i: (n, c, c == i) for i, (n, c) in want.items()}
+
+
 def test_edges(spark):
     rows = [(5, None, None, "x"), (1, "", "s", None), (2, " \t\n", "s", "x"), (3, "One", "s", "x"), (9, "oNe", "s", "x"), (7, "É", None, None), (8, "é", None, None), (4, "a b " * 30000, "s", "x"), (6, "A  B " * 30001, "s", "x"), (4, "a b " * 30000, "s", "x")]
     df = spark.createDataFrame(rows, DOCS)
