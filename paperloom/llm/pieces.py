@@ -4,8 +4,12 @@ A text, with the model's leading space, is cut before every run of spaces; no pi
 lattice of a text is the product of its units' lattices. Each distinct unit of a batch gets its lattice once: all pieces
 at all positions (and byte pieces for characters that have none), forward sums of piece weights exp(alpha * score), and
 at every position the distribution of the last piece. Every occurrence then draws its pieces backwards from the unit's end.
-The draws come from a counter: the row's key, the unit's number in its row, and the step. So a row's segmentation depends
-on its key, text, model, alpha and seed only, not on batches, partitions or retries.
+The draws come from a counter: the row's key, the unit's number in its row, and the step. Each position's distribution is
+kept in integers (of 2^-40), and its sums are those of its unit alone. So a row's segmentation depends on its key, text,
+model, alpha and seed only, to the last bit, not on batches, partitions or retries.
+
+Units advance side by side, a byte a step; those of over LOCKSTEP bytes one after the other. Forward sums are scaled by
+powers of two on the way, which changes no digit of them.
 
 Decoding is exact: a literal U+2581 is never taken for the space mark, but spelled in byte pieces.
 """
@@ -13,7 +17,6 @@ Decoding is exact: a literal U+2581 is never taken for the space mark, but spell
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,13 @@ from .store import ship
 from .text import U64, column, hash_spans, mix, slices
 
 ALPHA = 2e-4
-SHORT = 32  # bytes of a unit whose forward sums stay within a double
+LOCKSTEP = 4096  # bytes of a unit that advances with others
+SCALE = 16  # bytes between scalings: sums stay within a double
+FEW = 48  # occurrences that draw on one after the other
+ONE = 1 << 40
 CHUNK = 1 << 20
 MARK = "▁"
+_STEP = 0x9E3779B97F4A7C15
 _BASE = U64(0xC2B2AE3D27D4EB4F)
 _CODE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _made: dict = {}
@@ -130,40 +137,89 @@ class Lattice:
         start, length, piece, node = start[order], length[order], piece[order], node[order]
         self.first = np.searchsorted(node, np.arange(len(data) + 1))
         self.piece, self.length = piece, length
-        forward = np.zeros(len(data))
         weight, share = m.weight[piece], np.zeros(len(piece))
-        initial = start == unit[node]
-        short = (size <= SHORT)
-        rel = np.where(np.repeat(short, size)[node], node - unit[node], -1)
+        together = np.repeat(size <= LOCKSTEP, size)
+        self._side_by_side(m.longest, np.where(together[node], node - unit[node], -1), start, node, unit, weight, share)
+        for u in np.flatnonzero(size > LOCKSTEP):
+            self._alone(m.longest, int(begin[u]), int(end[u]), start, weight, share)
+        part = np.floor(share * ONE).astype(np.int64)
+        total = np.cumsum(part)
+        self.cumulative = total - (total - part)[self.first[node]]
+        last = self.first[1:][np.diff(self.first) > 0] - 1
+        # nothing lies beyond the last piece that can be reached; rounding must not step over it
+        reach = np.maximum.accumulate(np.where(share > 0, np.arange(len(share)), -1))
+        self.cumulative[reach[last][reach[last] >= 0]] = 2 * ONE
+
+    @staticmethod
+    def _side_by_side(longest, rel, start, node, unit, weight, share) -> None:
+        forward, origin = np.zeros(len(unit)), np.ones(len(unit))  # origin: the scale of a unit's beginning
         by = np.argsort(rel, kind="stable")
-        cuts = np.searchsorted(rel[by], np.arange(0, SHORT + 1))
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        cuts = np.searchsorted(rel[by], np.arange(rel.max(initial=-1) + 2))
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a == b:
                 continue
             e = by[a:b]
-            c = np.where(initial[e], 1.0, forward[start[e] - 1]) * weight[e]
-            heads = np.flatnonzero(np.diff(node[e], prepend=-1))
-            forward[node[e[heads]]] = np.add.reduceat(c, heads)
-            share[e] = c
-        share = share / np.where(forward[node] > 0, forward[node], 1.0)
-        for u in np.flatnonzero(~short):  # long units: the same sums in logarithms
-            log = {int(begin[u]) - 1: 0.0}
-            for v in range(int(begin[u]), int(end[u])):
-                e = range(int(self.first[v]), int(self.first[v + 1]))
-                c = [log.get(int(start[x]) - 1, -math.inf) + m.log[piece[x]] for x in e]
-                top = max(c, default=-math.inf)
-                if top > -math.inf:
-                    w = [math.exp(x - top) for x in c]
-                    total = sum(w)
-                    log[v] = top + math.log(total)
-                    share[self.first[v] : self.first[v + 1]] = np.array(w) / total
-        total = np.cumsum(share)
-        self.cumulative = total - np.concatenate([[0.0], total])[self.first[node]]
-        last = self.first[1:][np.diff(self.first) > 0] - 1
-        # nothing lies beyond the last piece that can be reached; rounding must not step over it
-        live = share > 0
-        reach = np.maximum.accumulate(np.where(live, np.arange(len(share)), -1))
-        self.cumulative[reach[last][reach[last] >= 0]] = 2.0
+            n, s = node[e], start[e]
+            if at and at % SCALE == 0:
+                # units whose last sums have become small: scaled up, back to the longest piece
+                ends = n[np.flatnonzero(np.diff(n, prepend=-1))]
+                back = ends[:, None] - np.arange(1, min(longest, at) + 1)
+                top = np.frexp(forward[back].max(axis=1))[1]
+                low = top < -64
+                if low.any():
+                    forward[back[low]] = np.ldexp(forward[back[low]], -top[low][:, None])
+                    origin[unit[ends[low]]] = np.ldexp(origin[unit[ends[low]]], -top[low])
+            c = np.where(s == unit[n], origin[s], forward[s - 1]) * weight[e]
+            heads = np.flatnonzero(np.diff(n, prepend=-1))
+            total = np.add.reduceat(c, heads)
+            forward[n[heads]] = total
+            total = np.repeat(total, np.diff(heads, append=len(n)))
+            share[e] = c / np.where(total > 0, total, 1.0)
+
+    def _alone(self, longest, begin, end, start, weight, share) -> None:
+        lo, hi = int(self.first[begin]), int(self.first[end])
+        cuts, back = (self.first[begin : end + 1] - lo).tolist(), (start[lo:hi] - begin).tolist()
+        w, out = weight[lo:hi].tolist(), [0.0] * (hi - lo)
+        forward = [0.0] * (end - begin + 1)  # forward[k]: the sum over the first k bytes
+        forward[0] = 1.0
+        a = 0
+        for k, b in enumerate(cuts[1:], 1):
+            if b - a == 1:
+                c = forward[back[a]] * w[a]
+                forward[k] = c
+                if c > 0:
+                    out[a] = 1.0
+            elif b > a:
+                c = [forward[x] * y for x, y in zip(back[a:b], w[a:b])]
+                total = sum(c)
+                forward[k] = total
+                if total > 0:
+                    out[a:b] = [x / total for x in c]
+            if k % SCALE == 0:
+                first = max(0, k - longest)
+                top = max(forward[first : k + 1])
+                if top < 1e-20:
+                    forward[first : k + 1] = np.ldexp(forward[first : k + 1], -int(np.frexp(top)[1])).tolist()
+            a = b
+        share[lo:hi] = out
+
+
+    def walk(self, node: int, low: int, key: np.uint64, step: int) -> np.ndarray:
+        """The pieces that a unit's occurrence draws backwards from node on; step: the pieces it has drawn."""
+        lo, hi = int(self.first[low]), int(self.first[node + 1])
+        cuts, cumulative, length = (self.first[low : node + 1] - lo).tolist(), self.cumulative[lo:hi].tolist(), self.length[lo:hi].tolist()
+        at, out, draws = node - low, [], []
+        while at >= 0:
+            if not draws:
+                n = min(4096, at + 1)
+                draws = (mix(key + np.arange(step, step + n, dtype=np.uint64) * U64(_STEP)) >> U64(24)).tolist()[::-1]
+                step += n
+            u, e = draws.pop(), cuts[at]
+            while cumulative[e] <= u:
+                e += 1
+            out.append(e)
+            at -= length[e]
+        return self.piece[lo + np.array(out, np.int64)].astype(np.int32)
 
 
 def segment(m: Model, texts: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +252,8 @@ def segment(m: Model, texts: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> t
     occ = np.arange(len(begin))
     took, counts = [], np.zeros(len(begin), np.int64)
     step = 0
-    while len(occ):
-        u = (mix(key[occ] + U64(step * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(11)).astype(np.float64) * 2.0**-53
+    while len(occ) > FEW:
+        u = (mix(key[occ] + U64(step * _STEP & (2**64 - 1))) >> U64(24)).astype(np.int64)
         e = lattice.first[node]
         more = np.flatnonzero(lattice.cumulative[e] <= u)
         while len(more):
@@ -209,10 +265,15 @@ def segment(m: Model, texts: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> t
         on = node >= low
         occ, node, low = occ[on], node[on], low[on]
         step += 1
+    tails = [(o, lattice.walk(int(v), int(a), key[o], step)) for o, v, a in zip(occ, node, low)]
+    for o, x in tails:
+        counts[o] += len(x)
     ends = np.cumsum(counts)
     ids = np.empty(ends[-1], np.int32)
     for s, (o, piece) in enumerate(took):
         ids[ends[o] - 1 - s] = piece
+    for o, x in tails:
+        ids[ends[o] - counts[o] : ends[o] - step] = x[::-1]
     before = np.concatenate([[0], ends])
     return ids, before[np.searchsorted(begin, to)]
 

@@ -59,10 +59,65 @@ def test_samples_follow_the_lattice_distribution():
 
 
 def test_long_units_match_short_ones(monkeypatch):
-    texts = ["internationalization", "abc" * 9]
-    a = run(texts * 50, list(range(100)))
-    monkeypatch.setattr(pieces, "SHORT", 4)  # the same words by sums of logarithms
-    assert run(texts * 50, list(range(100))) == a
+    texts = ["internationalization", "abc" * 9, "日本語の文章" * 20, "qZ7+/" * 60]
+    a = run(texts * 50, list(range(200)))
+    monkeypatch.setattr(pieces, "FEW", 10**9)  # the same occurrences one after the other
+    assert run(texts * 50, list(range(200))) == a
+    monkeypatch.setattr(pieces, "LOCKSTEP", 4)  # the same units alone; sums may differ in their last bit
+    b = run(texts * 50, list(range(200)))
+    assert sum(x != y for x, y in zip(a, b)) <= 1
+
+
+def test_units_are_the_same_in_any_company():
+    rnd = np.random.default_rng(4)
+    company = ["".join(rnd.choice(list("abcdefghij éßñ漢字 "), rnd.integers(1, 40))) for _ in range(20_000)]
+    mine = [" thing", " internationalization", " 日本語の文章" * 9, " " + "aGVsbG8gd29ybGQ" * 40]
+    for unit in mine:
+        exact = []
+        for around in ([], company[:7], company):
+            data = np.frombuffer("".join([*around, unit]).encode(), np.uint8)
+            size = np.array([len(x.encode()) for x in [*around, unit]])
+            end = np.cumsum(size)
+            lattice = pieces.Lattice(M, data, end - size, end)
+            a = int(lattice.first[end[-1] - size[-1]])
+            exact.append((lattice.cumulative[a:].tolist(), lattice.piece[a:].tolist()))
+        assert exact[0] == exact[1] == exact[2]
+    # 10^6 draws and more, alone or in company
+    texts = [f"the international thing of {k} {mine[3]}" for k in range(4000)]
+    keys = list(range(4000))
+    whole = run(texts, keys)
+    assert sum(map(len, whole)) > 10**6
+    assert [x for i in range(0, 4000, 500) for x in run([company[i], *texts[i : i + 500]], [-1, *keys[i : i + 500]])[1:]] == whole
+
+
+def test_forward_sums_of_long_units_against_exact_sums():
+    from fractions import Fraction
+
+    for text in (" " + "zq" * 40, " 漢" * 1 + "字漢" * 30):
+        data = np.frombuffer(text.encode(), np.uint8)
+        lattice = pieces.Lattice(M, data, np.array([0]), np.array([len(data)]))
+        f = [Fraction(1)] + [Fraction(0)] * len(data)
+        for v in range(len(data)):
+            e = range(int(lattice.first[v]), int(lattice.first[v + 1]))
+            c = [f[v + 1 - int(lattice.length[x])] * Fraction(float(M.weight[lattice.piece[x]])) for x in e]
+            f[v + 1] = sum(c, Fraction(0))
+            total, at = Fraction(0), 0
+            for x, y in zip(e, c):
+                total += y
+                if f[v + 1] and lattice.cumulative[x] < 2 * pieces.ONE:
+                    assert abs(Fraction(int(lattice.cumulative[x]), pieces.ONE) - total / f[v + 1]) < Fraction(1, 10**10)
+
+
+def test_a_megabyte_without_spaces():
+    import time
+
+    rnd = np.random.default_rng(3)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789+/", "日本語文章漢字仮名交", "z"):
+        text = "".join(rnd.choice(list(alphabet), 1_000_000 // len(alphabet[0].encode())))
+        began = time.perf_counter()
+        (ids,) = run([text], [1])
+        assert time.perf_counter() - began < 30
+        assert pieces.join(M, np.array(ids), np.array([0, len(ids)]))[0].tobytes().decode() == text
 
 
 def test_query_rows(spark, sf):
