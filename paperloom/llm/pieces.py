@@ -168,7 +168,8 @@ class Lattice:
                 low = top < -64
                 if low.any():
                     forward[back[low]] = np.ldexp(forward[back[low]], -top[low][:, None])
-                    origin[unit[ends[low]]] = np.ldexp(origin[unit[ends[low]]], -top[low])
+                    if at < longest:
+                        origin[unit[ends[low]]] = np.ldexp(origin[unit[ends[low]]], -top[low])
             c = np.where(s == unit[n], origin[s], forward[s - 1]) * weight[e]
             heads = np.flatnonzero(np.diff(n, prepend=-1))
             total = np.add.reduceat(c, heads)
