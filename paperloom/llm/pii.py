@@ -1,14 +1,16 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
-Base spans come from fixed patterns (e-mail, IPv4, card numbers with a Luhn check, international phone numbers). High-recall
-generators propose further, overlapping candidates: tokens that mix letters and digits, and groups of digits with
-separators. Boosted trees score a candidate from its format (length, digits, capitals, separators, ...) and its context (cue
-words before it); of overlapping candidates the best score wins, and those above the threshold become spans of kind
-secret or number. A candidate that overlaps a base span is dropped; base spans always stay.
+Base spans come from fixed patterns (e-mail, IPv4, card numbers with a Luhn check, international phone numbers) and always
+stay. High-recall generators propose further candidates in the text between them: tokens that mix letters and digits, spaced
+IBANs, and, from every group of digits on, phone-like, card-like and other grouped numbers, which overlap. Boosted trees
+score a candidate from its format (length, digits, capitals, separators, Luhn check, ...) and its context (cue words before it);
+those above the threshold become spans of kind secret or number. Of overlapping numbers the best score stays (ties: the
+longest, then the first), and of the rest those that overlap no such number, chosen alike; numbers are sought outside of secrets.
 
 The trees are trained here, on examples that a seeded generator makes; the threshold is the lowest at which held-out examples reach the target
 precision. They are then one CASE expression. Only texts with a digit or an at sign are searched. Offsets are code points: running sums of the lengths
-of matches and of what lies between them.
+of matches and of what lies between them. All steps are linear in a text's length and spans, but for a sort: sums and maxima are
+taken in two levels, pieces are cut from blocks of the text, and a number has a bounded length, so a bounded number of rivals.
 """
 
 from __future__ import annotations
@@ -29,41 +31,108 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# tokens with letters and digits, of six characters or more; separated groups of digits
+# tokens with letters and digits, of six characters or more; IBANs in groups of four
 TOKEN = r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{6,}+"
-GROUP = r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+(?![0-9A-Za-z])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# numbers that begin at a group of digits, with an opening bracket if there is one, and end at a group's end
+_OPEN, _END = r"(?:\(|(?<!\())", "(?![0-9A-Za-z])"
+NUMBERS = (
+    _OPEN + r"[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}" + _END,
+    r"[0-9](?:[\x20-]?[0-9]){12,18}" + _END,
+    _OPEN + r"[0-9](?:[\x20().-]{0,2}[0-9]){5,14}" + _END,
+)
+RIVALS = 30 * len(NUMBERS)  # a number has at most 45 characters or so, thus fewer groups
+PIECE = 4096  # code points of a block of text
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "number")
 CONTEXT = 24  # characters before a candidate that are searched for cue words
 CUES = {"secret": r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api.?key|\bkey|credential|bearer|auth)\W*$", "number": r"(?i)(?:phone|tel|call|fax|mobile|ssn|social|passport|account|iban|id|nr|no)\W*$"}
-FEATURES = ("length", "digits", "upper", "lower", "marks", "runs", "cue", "leading", "equal_tail", "hexed", "grouped")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "runs", "cue", "leading", "equal_tail", "hexed", "grouped", "fours", "luhn")
 PRECISION = 0.995
 
 
 # ---- positions
 
 
-def before(values: Column) -> Column:
-    """For each element the sum of those before it; two levels of 64, so long arrays stay near linear."""
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs the fold (0 at first) of those before it; two levels of 64, so long arrays stay
+    near linear."""
+    zero = F.lit(0).cast("long")
 
-    def sums(v: Column) -> Column:
+    def folds(v: Column) -> Column:
         chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")))
-        add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-        of_chunk = F.transform(chunks, lambda j: add(F.slice(v, j * 64 + 1, 64)))
-        starts = lambda c: F.transform(c, lambda _, j: F.when(j == 0, F.lit(0).cast("long")).otherwise(add(F.slice(c, 1, j))))
-        return let(let(of_chunk, starts), lambda s: F.transform(v, lambda _, i: F.get(s, F.shiftright(i, 6)) + F.when(i % 64 == 0, F.lit(0).cast("long")).otherwise(add(F.slice(v, F.shiftright(i, 6) * 64 + 1, i % 64)))))
+        total = lambda x: F.aggregate(x, zero, fold)
+        of_chunk = F.transform(chunks, lambda j: total(F.slice(v, j * 64 + 1, 64)))
+        starts = lambda c: F.transform(c, lambda _, j: F.when(j == 0, zero).otherwise(total(F.slice(c, 1, j))))
+        return let(let(of_chunk, starts), lambda s: F.transform(v, lambda _, i: F.when(i % 64 == 0, F.get(s, F.shiftright(i, 6))).otherwise(fold(F.get(s, F.shiftright(i, 6)), total(F.slice(v, F.shiftright(i, 6) * 64 + 1, i % 64))))))
+
+    return let(values, folds)
+
+
+def before(values: Column) -> Column:
+    """For each element the sum of those before it."""
+    return running(values, lambda a, b: a + b)
+
 
-    return let(values, sums)
+_HITS = "array<struct<start:bigint,end:bigint,hit:string,before:string>>"
 
 
-def found(text: Column, pattern: str, body: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Matches of a pattern as structs (start, end, hit), in order."""
+def found(text: Column, pattern: str) -> Column:
+    """Matches of a pattern as structs (start, end, hit, before), in order; before: up to CONTEXT characters of the match
+    before and what follows it."""
 
     def placed(pieces: Column, hits: Column) -> Column:
-        gaps = F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.length(h))
-        return let(before(gaps), lambda at: F.transform(hits, lambda h, i: F.struct((F.get(at, i) + F.length(F.get(pieces, i))).alias("start"), (F.get(at, i) + F.length(F.get(pieces, i)) + F.length(h)).alias("end"), h.alias("hit"))))
+        gaps = F.transform(hits, lambda h, i: (F.length(F.get(pieces, i)) + F.length(h)).cast("long"))
+
+        def one(at: Column, h: Column, i: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(pieces, i))
+            cue = F.right(F.concat(F.when(i > 0, F.get(hits, i - 1)).otherwise(""), F.get(pieces, i)), F.lit(CONTEXT))
+            return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("hit"), cue.alias("before"))
+
+        return let(before(gaps), lambda at: F.transform(hits, lambda h, i: one(at, h, i)))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda hits: F.when(F.size(hits) == 0, F.array().cast(_HITS)).otherwise(let(F.split(text, pattern, -1), lambda pieces: placed(pieces, hits))))
+
+
+def found_from(text: Column, pattern: str) -> Column:
+    """As found, for a pattern that is tried at every place behind anything but a letter or digit: matches may overlap."""
+    place = "(?<![0-9A-Za-z])(?=({}))"
+    led = F.concat(F.lit("\n"), text)  # a cut at the very beginning would leave no piece
+
+    def placed(pieces: Column, hits: Column) -> Column:
+        def one(at: Column, h: Column, i: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(pieces, i)) - 1
+            cue = F.right(F.concat(F.when(i > 0, F.get(pieces, i - 1)).otherwise(""), F.get(pieces, i)), F.lit(CONTEXT))
+            return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("hit"), cue.alias("before"))
+
+        return let(before(F.transform(pieces, lambda p: F.length(p).cast("long"))), lambda at: F.transform(hits, lambda h, i: one(at, h, i)))
+
+    return let(F.regexp_extract_all(led, F.lit(place.format(pattern)), 1), lambda hits: F.when(F.size(hits) == 0, F.array().cast(_HITS)).otherwise(let(F.split(led, place.format(pattern), -1), lambda pieces: placed(pieces, hits))))
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+
+def piece(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text with these blocks, at a cost of its own length and that of two blocks."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+    return F.when(b > a, F.substr(F.array_join(F.slice(parts, i + 1, F.greatest(j - i + 1, F.lit(0))), ""), (a % PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+
+def gaps(text: Column, spans: Column) -> Column:
+    """What lies between spans (start, end), as structs (at, text)."""
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda hits: F.when(F.size(hits) == 0, F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")).otherwise(let(F.split(text, pattern, -1), lambda pieces: placed(pieces, hits))))
+    def between(s: Column, past: Column, parts: Column) -> Column:
+        inner = F.transform(s, lambda x, i: F.struct(F.get(past, i).alias("at"), piece(parts, F.get(past, i), x["start"]).alias("text")))
+        last = F.greatest(F.element_at(past, -1), F.element_at(s, -1)["end"])
+        tail = let(last, lambda e: F.struct(e.alias("at"), piece(parts, e, F.length(text).cast("long")).alias("text")))
+        return F.filter(F.concat(inner, F.array(tail)), lambda g: g["text"] != "")
+
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    cut = let(ordered, lambda s: let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda past: let(blocks(text), lambda parts: between(s, past, parts))))
+    return F.when(F.size(spans) == 0, F.array(F.struct(F.lit(0).cast("long").alias("at"), text.alias("text")))).otherwise(cut)
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -106,6 +175,7 @@ def base_spans(text: Column) -> Column:
 
 # ---- features: the same numbers in Python, for training, and as columns
 
+FOURS = r"[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{1,3})?"
 _COUNTED = {"digits": "[^0-9]", "upper": "[^A-Z]", "lower": "[^a-z]", "marks": r"[A-Za-z0-9\x20]"}
 
 
@@ -114,11 +184,14 @@ def example_features(before_text: str, hit: str, kind: str) -> list[float]:
 
     f = {"length": len(hit), **{k: len(re.sub(p, "", hit)) for k, p in _COUNTED.items()}}
     f["runs"] = len(re.findall("[0-9]+", hit))
-    f["cue"] = 1 if re.search(CUES[kind], before_text[-CONTEXT:]) else 0
+    f["cue"] = 1 if re.search("(?a)" + CUES[kind], before_text[-CONTEXT:]) else 0
     f["leading"] = 1 if re.match(r"AKIA|gh[pousr]_|sk-|xox[bp]-|eyJ|[A-Z]{2}[0-9]{2}", hit) else 0
     f["equal_tail"] = 1 if hit.endswith("=") else 0
     f["hexed"] = 1 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", hit) else 0
     f["grouped"] = 1 if re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}", hit) else 0
+    f["fours"] = 1 if re.fullmatch(FOURS, hit) else 0
+    d = [int(c) for c in hit if c in "0123456789"]
+    f["luhn"] = 1 if 13 <= len(d) <= 19 and len(d) + hit.count(" ") + hit.count("-") == len(hit) and sum(sum(divmod(c * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0 else 0
     return [float(f[k]) for k in FEATURES]
 
 
@@ -130,6 +203,8 @@ def column_features(before_text: Column, hit: Column, kind: str) -> Column:
     f["equal_tail"] = hit.endswith("=").cast("int")
     f["hexed"] = hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int")
     f["grouped"] = hit.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{2,3}[\x20.-][0-9]{4}$").cast("int")
+    f["fours"] = hit.rlike(f"^{FOURS}$").cast("int")
+    f["luhn"] = F.when(hit.rlike(r"^[0-9](?:[\x20-]*[0-9]){12,18}$"), let(digits_of(hit), luhn)).otherwise(False).cast("int")
     return F.array(*[f[k].cast("double") for k in FEATURES])
 
 
@@ -138,6 +213,17 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[list[float], int]]:
     r = random.Random(seed)
     d = lambda k: "".join(r.choice(string.digits) for _ in range(k))
     alnum = lambda k, a: "".join(r.choice(a) for _ in range(k))
+
+    def checked(n: int, sep: str) -> str:
+        x = d(n - 1)
+        total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(x)))
+        x += str(-total % 10)
+        return sep.join(x[i : i + 4] for i in range(0, n, 4))
+
+    def unchecked(n: int) -> str:
+        x = checked(n, "")
+        return x[:-1] + str((int(x[-1]) + r.randrange(1, 10)) % 10)
+
     prose = ["and the ", "of 12 ", "see ", "", "in version ", "about ", "was, ", "chapter ", "Licensed under "]
     cue = {"secret": ["password=", "token: ", 'api_key = "', "secret key ", "Bearer ", 'token = "'], "number": ["phone ", "call ", "tel. ", "SSN ", "account no ", "Tel: "]}[kind]
     out = []
@@ -145,18 +231,18 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[list[float], int]]:
         good, cued = r.random() < 0.5, r.random() < 0.4
         if kind == "secret":
             if good:
-                hit = r.choice([lambda: "AKIA" + alnum(16, string.ascii_uppercase + string.digits), lambda: alnum(r.choice([18, 20, 32, 40, 64]), "0123456789abcdef"), lambda: "ghp_" + alnum(36, string.ascii_letters + string.digits), lambda: alnum(r.randrange(20, 60), string.ascii_letters + string.digits + "+/") + "=", lambda: r.choice(["GB", "DE", "FR"]) + d(2) + alnum(4, string.ascii_uppercase) + d(14)])()
+                hit = r.choice([lambda: "AKIA" + alnum(16, string.ascii_uppercase + string.digits), lambda: alnum(r.choice([18, 20, 32, 40, 64]), "0123456789abcdef"), lambda: "ghp_" + alnum(36, string.ascii_letters + string.digits), lambda: alnum(r.randrange(20, 60), string.ascii_letters + string.digits + "+/") + "=", lambda: r.choice(["GB", "DE", "FR"]) + d(2) + alnum(4, string.ascii_uppercase) + d(14), lambda: r.choice(["GB", "DE", "FR", "NL", "ES"]) + d(2) + " " + " ".join(r.choice([d(4), alnum(4, string.ascii_uppercase)]) if not i else d(4) for i in range(r.randrange(3, 6))) + r.choice(["", " " + d(2)])])()
                 if not any(c.isdigit() for c in hit):
                     hit += "7"
                 cued = cued or r.random() < 0.5
             else:
-                hit = r.choice([lambda: alnum(r.randrange(4, 12), string.ascii_lowercase) + d(r.randrange(1, 3)), lambda: "-".join(alnum(r.randrange(2, 9), string.ascii_lowercase) for _ in range(r.randrange(2, 6))) + "-" + d(1), lambda: d(4) + "-" + d(2) + "-" + d(2), lambda: d(r.randrange(6, 11)), lambda: alnum(1, string.ascii_uppercase) + alnum(7, string.ascii_lowercase) + d(2), lambda: "CC-BY-" + d(1), lambda: "http/" + alnum(12, string.ascii_lowercase) + d(1), lambda: alnum(r.randrange(6, 12), string.ascii_lowercase) + "/" + d(2)])()
+                hit = r.choice([lambda: alnum(r.randrange(4, 12), string.ascii_lowercase) + d(r.randrange(1, 3)), lambda: "-".join(alnum(r.randrange(2, 9), string.ascii_lowercase) for _ in range(r.randrange(2, 6))) + "-" + d(1), lambda: d(4) + "-" + d(2) + "-" + d(2), lambda: d(r.randrange(6, 11)), lambda: alnum(1, string.ascii_uppercase) + alnum(7, string.ascii_lowercase) + d(2), lambda: "CC-BY-" + d(1), lambda: "http/" + alnum(12, string.ascii_lowercase) + d(1), lambda: alnum(r.randrange(6, 12), string.ascii_lowercase) + "/" + d(2), lambda: alnum(2, string.ascii_uppercase) + d(2) + " " + " ".join(alnum(4, string.ascii_uppercase) for _ in range(r.randrange(2, 4)))])()
                 cued = cued and r.random() < 0.1
         elif good:
-            hit = r.choice([lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-555-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: d(r.randrange(9, 12))])()
-            cued = cued or hit.isdigit()
+            hit = r.choice([lambda: f"({d(3)}) 555-{d(4)}", lambda: f"{d(3)}-555-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: d(r.randrange(9, 12)), lambda: checked(16, ""), lambda: checked(16, r.choice(" -"))])()
+            cued = cued or hit.isdigit() and len(hit) < 16
         else:
-            hit = r.choice([lambda: d(r.randrange(6, 16)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(3)}", lambda: " ".join(d(r.randrange(1, 4)) for _ in range(r.randrange(4, 9))), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(5)}", lambda: f"{d(5)}.{d(2)}"])()
+            hit = r.choice([lambda: d(r.randrange(6, 16)), lambda: f"555-{d(4)}", lambda: f"{d(3)}-555", lambda: f"{d(4)} {d(3)}-555-{d(4)}", lambda: f"{d(4)} ({d(3)}) 555", lambda: f"555-{d(4)} {d(3)}-555", lambda: f"{d(2)}-{d(4)} {d(3)}", lambda: f"{d(1)} {d(3)} {d(3)}", lambda: unchecked(r.randrange(13, 20)), lambda: f"{d(4)} {d(12)}", lambda: f"{d(4)} " + checked(13, ""), lambda: " ".join(d(3) for _ in range(r.randrange(4, 7))), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(3)}", lambda: " ".join(d(r.randrange(1, 4)) for _ in range(r.randrange(4, 9))), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}.{d(5)}", lambda: f"{d(5)}.{d(2)}"])()
             cued = False
         out.append((example_features(r.choice(cue if cued else prose), hit, kind), int(good)))
     return out
@@ -203,16 +289,24 @@ def predict(tree, row) -> float:
     return tree
 
 
+def total(forest, row) -> float:
+    """The trees' sum in the order that the columns add them; sum() would round otherwise."""
+    out = predict(forest[0], row)
+    for tree in forest[1:]:
+        out += predict(tree, row)
+    return out
+
+
 @lru_cache
 def model(kind: str) -> tuple[tuple, float]:
-    """The trees, and the least margin at which held-out examples reach PRECISION."""
+    """The trees, and the least margin of a true held-out example down to which these reach PRECISION."""
     forest = boost(examples(kind, 1200, 17))
-    held = sorted(((sum(predict(t, row) for t in forest), label) for row, label in examples(kind, 1200, 18)), reverse=True)
+    held = sorted(((total(forest, row), label) for row, label in examples(kind, 1200, 18)), reverse=True)
     good, threshold = 0, held[0][0]
     for n, (score, label) in enumerate(held, 1):
         good += label
         tied = n < len(held) and held[n][0] == score
-        if not tied and good >= PRECISION * n:
+        if label and not tied and good >= PRECISION * n:
             threshold = score
     return tuple(forest), threshold
 
@@ -227,37 +321,72 @@ def margin(forest: tuple, f: Column) -> Column:
     return total
 
 
-def extra_spans(text: Column, base: Column) -> Column:
-    """Candidates that score above their threshold, overlap no base span, and no better candidate."""
+def settled(spans: Column) -> Column:
+    """Of spans in the order of their starts, the best of all that overlap, then of the rest the best that overlap none of
+    those. Only neighbours can overlap."""
+
+    def best(all_: Column) -> Column:
+        def rivals(i: Column) -> Column:
+            return F.slice(all_, F.greatest(i - RIVALS, F.lit(0)) + 1, F.lit(2 * RIVALS + 1))
+
+        def better(y: Column, x: Column) -> Column:
+            n = lambda s: s["end"] - s["start"]
+            return (y["score"] > x["score"]) | ((y["score"] == x["score"]) & ((n(y) > n(x)) | ((n(y) == n(x)) & (y["start"] < x["start"]))))
+
+        return F.transform(all_, lambda x, i: F.struct((~F.exists(rivals(i), lambda y: _meet(x, y) & better(y, x))).alias("won"), x.alias("x")))
+
+    def left(marked: Column) -> Column:
+        """The spans that meet no winner, in order."""
+        near = lambda i: F.slice(marked, F.greatest(i - RIVALS, F.lit(0)) + 1, F.lit(2 * RIVALS + 1))
+        return F.transform(F.filter(F.transform(marked, lambda m, i: F.struct(m["x"].alias("x"), F.exists(near(i), lambda y: y["won"] & _meet(m["x"], y["x"])).alias("met"))), lambda m: ~m["met"]), lambda m: m["x"])
 
-    def kind(name: str, pattern: str, ok: Callable[[Column], Column]) -> Column:
-        forest, threshold = model(name)
+    won = lambda marked: F.transform(F.filter(marked, lambda m: m["won"]), lambda m: m["x"])
+    both = lambda first: F.concat(won(first), let(left(first), lambda r: let(best(r), won)))
+    return F.when(F.size(spans) < 2, spans).otherwise(let(best(spans), both))
 
-        def scored(x: Column) -> Column:
-            start = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            context = F.substr(text, (start + 1).cast("int"), (x["start"] - start).cast("int"))
-            return let(column_features(context, x["hit"], name), lambda f: F.struct(margin(forest, f).alias("score"), F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
 
-        kept = F.filter(found(text, pattern), lambda x: ok(x["hit"]) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.filter(F.transform(kept, scored), lambda x: x["score"] >= threshold)
+def _meet(x: Column, y: Column) -> Column:
+    return (y["start"] < x["end"]) & (x["start"] < y["end"])
 
-    mixed = kind("secret", TOKEN, lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]"))
-    number = kind("number", GROUP, lambda h: F.length(digits_of(h)) <= 19)
 
-    def settled(all_: Column) -> Column:
-        better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["kind"] > x["kind"])))
-        return F.filter(all_, lambda x: ~F.exists(all_, lambda y: better(x, y)))
+def _judged(hits: Column, kind: str, at: Column) -> Column:
+    """The candidates that score their kind's threshold or more; at: where the searched text begins."""
+    forest, threshold = model(kind)
+    score = lambda x: let(column_features(x["before"], x["hit"], kind), lambda f: margin(forest, f))
+    made = F.transform(hits, lambda x: F.struct(score(x).alias("score"), (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit")))
+    return F.filter(made, lambda x: x["score"] >= threshold)
 
-    spans = let(F.concat(mixed, number), settled)
-    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
-    return let(spans, lambda v: F.concat(*[F.transform(of_kind(v, k), plain) for k in EXTRA]))
 
+def secrets_in(g: Column) -> Column:
+    hits = F.filter(found(g["text"], TOKEN), lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]"))
+    spaced = F.when(g["text"].rlike(r"[A-Z]{2}[0-9]{2}\x20[A-Z0-9]{4}\x20"), found(g["text"], IBAN)).otherwise(F.array().cast(_HITS))
+    return _judged(F.concat(hits, spaced), "secret", g["at"])
 
-def spans_of(text: Column) -> Column:
-    """A struct (base, extra) of the spans of a text that isn't null."""
+
+def numbers_in(g: Column) -> Column:
+    none = F.array().cast(_HITS)
+    each = F.when(g["text"].rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){5}"), F.concat(*[found_from(g["text"], p) for p in NUMBERS])).otherwise(none)
+    return let(_judged(each, "number", g["at"]), lambda v: F.when(F.size(v) < 2, v).otherwise(F.array_sort(F.array_distinct(v), _by_place)))
+
+
+def with_spans(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """The columns keep, t (the text), base and extra (its spans); text isn't null.
+
+    A column a step: as one expression the steps would nest too deep for the analyser."""
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hit:string>>")
-    both = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike("[0-9]"), extra_spans(t, b)).otherwise(empty).alias("extra"))))
-    return F.when(text.rlike("[0-9@]"), both).otherwise(F.struct(empty.alias("base"), empty.alias("extra")))
+    plain = lambda v: F.transform(v, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+    out = docs.select(*keep, text.alias("t"))
+    out = out.select(*keep, "t", F.when(F.col("t").rlike("[0-9@]"), base_spans(F.col("t"))).otherwise(empty).alias("base"))
+    out = out.select("*", F.when(F.col("t").rlike("[0-9]"), gaps(F.col("t"), F.col("base"))).otherwise(F.array().cast("array<struct<at:bigint,text:string>>")).alias("near"))
+    out = out.select("*", F.flatten(F.transform("near", secrets_in)).alias("secrets"))
+    out = out.select(*keep, "t", "base", "secrets", F.when(F.size("secrets") == 0, F.col("near")).otherwise(gaps(F.col("t"), F.concat("base", plain(F.col("secrets"))))).alias("rest"))
+    out = out.select(*keep, "t", "base", "secrets", F.transform("rest", numbers_in).alias("numbers"))
+    numbers = F.flatten(F.transform("numbers", settled))
+    return out.select(*keep, "t", "base", F.concat(F.array_sort(plain(F.col("secrets")), _by_place), F.array_sort(plain(numbers), _by_place)).alias("extra"))
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    return F.signum(F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["end"] - y["end"])).cast("int")
 
 
 def _joined(spans: Column) -> Column:
@@ -271,25 +400,27 @@ def personal_data(docs: DataFrame) -> DataFrame:
     are both listed. Rows without doc_id and repeated rows each give a row; an empty table gives an empty result; other
     columns are ignored.
     """
-    rows = docs.select("doc_id", spans_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
-    counts = [F.size(of_kind(F.col("s.base"), k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("s.base")), 256).alias("base_sha256"), _joined(F.concat("s.base", "s.extra")).alias("spans"))
+    rows = with_spans(docs, F.coalesce(docs["text"].cast("string"), F.lit("")), ["doc_id"])
+    counts = [F.size(of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "extra")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of a text replaced by its kind in angle brackets, as in <email>; overlapping spans become one mark,
     of the first kind. Null texts stay null. All columns stay as they are."""
-    text = F.col("text").cast("string")
-
     def cut(t: Column, spans: Column) -> Column:
         # a span whose start lies within an earlier one is part of it
         ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-        none = F.array().cast("array<struct<start:bigint,past:bigint,kind:string>>")
-        step = lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), a["past"].alias("past"), x["kind"].alias("kind")))).alias("out"), F.greatest(a["past"], -x["end"]).alias("past"))
-        reach = F.aggregate(ordered, F.struct(none.alias("out"), F.lit(0).cast("long").alias("past")), step)["out"]
-        pieces = let(reach, lambda o: F.transform(o, lambda x: F.concat(F.when(x["start"] > x["past"], F.substr(t, (x["past"] + 1).cast("int"), (x["start"] - x["past"]).cast("int"))).otherwise(""), F.when(x["start"] >= x["past"], F.concat(F.lit("<"), x["kind"], F.lit(">"))).otherwise(""))))
-        tail = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
-        return F.concat(F.array_join(pieces, ""), let(tail, lambda e: F.substr(t, (e + 1).cast("int"), F.length(t))))
-
-    new = let(spans_of(text), lambda s: let(F.concat(s["base"], s["extra"]), lambda a: F.when(F.size(a) == 0, text).otherwise(cut(text, a))))
-    return docs.withColumn("text", F.when(text.isNull(), text).otherwise(new))
+
+        def marked(s: Column, past: Column, parts: Column) -> Column:
+            one = lambda x, e: F.when(x["start"] >= e, F.concat(piece(parts, e, x["start"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
+            tail = F.greatest(F.element_at(past, -1), -F.element_at(s, -1)["end"])
+            return F.concat(F.array_join(F.transform(s, lambda x, i: one(x, F.get(past, i))), ""), let(tail, lambda e: piece(parts, e, F.length(t).cast("long"))))
+
+        return let(ordered, lambda s: let(running(F.transform(s, lambda x: -x["end"]), lambda a, b: F.greatest(a, b)), lambda past: let(blocks(t), lambda parts: marked(s, past, parts))))
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = with_spans(rows, F.coalesce(F.col("row.text").cast("string"), F.lit("")), ["row"])
+    new = let(F.concat("base", "extra"), lambda a: F.when(F.size(a) == 0, F.col("t")).otherwise(cut(F.col("t"), a)))
+    new = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).otherwise(new)
+    return rows.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
