@@ -5,7 +5,8 @@ are rounded to a_s / FRAME. Block i of source s is released at floor((i - 1) / w
 released block with the earliest deadline runs (ties: the source's rank). All weights sum to one, so every block keeps its
 window and no source is ever a block away from its share. As weights are multiples of 1 / FRAME, the schedule repeats
 after FRAME slots: it is computed once for FRAME slots by an aggregate expression over one row, and every block finds its
-slot by arithmetic and a join with that table of FRAME rows.
+slot by arithmetic and a join with that table of FRAME rows. With more than FRAME sources the frame has two slots for each
+of them; that expression's cost grows with the square of the number of sources then.
 
 A source's running length is taken in two levels, over hash buckets and within them, so that a source of any size is
 spread over tasks.
@@ -46,17 +47,18 @@ def pattern(weights: DataFrame) -> DataFrame:
 
 
 def shares(totals: DataFrame, frame: int, weights: dict[str, float] | None, temperature: float) -> DataFrame:
-    """source, units, rank, share: each source's slots of a frame, by largest remainder; one at least."""
+    """source, units, rank, share: each source's slots of a frame, by largest remainder; one at least. A source that the
+    weights leave out or give 0 has none and no row."""
     if weights is None:
         raw = totals.withColumn("w", F.pow(F.greatest("units", F.lit(1)).cast("double"), F.lit(float(temperature))))
     else:
         pick = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
-        raw = totals.withColumn("w", pick)
+        raw = totals.withColumn("w", pick).filter("w > 0")
     every = Window.partitionBy(F.lit(0))  # a row for each source
     raw = raw.withColumn("rank", F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())) - 1)
     n = F.count("*").over(every)
     # one slot for each, the others in proportion
-    fits = F.when(n <= frame, F.lit(frame) - n).otherwise(F.raise_error(F.lit("more sources than slots in a frame")).cast("long"))
+    fits = F.lit(frame) - n
     exact = raw.withColumn("ideal", F.col("w") / F.sum("w").over(every) * fits)
     floor = exact.withColumn("whole", F.floor("ideal").cast("int"))
     left = F.lit(frame) - n - F.sum("whole").over(every)
@@ -68,12 +70,13 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     """The mixture: a row for each occurrence of a document, to be read in the order of (slot, at).
 
     doc_id, source, units (characters), block, epoch, slot, at (the document's offset in its source). Without weights a source's target is its
-    number of characters to the power temperature. No document is left out: the mixture ends with the slot in which the
+    number of characters to the power temperature; with weights a source of weight 0, or without one, isn't in the mixture.
+    No document of another is left out: the mixture ends with the slot in which the
     last source has been read once; the others are read again from their beginning (epoch 1, 2, ...) to keep their share.
     A document belongs to the block where it begins.
 
     A null or empty text has no units and follows its neighbour. A null source is a source of its own. Rows without
-    doc_id are scheduled too. Repeated rows are each scheduled; they are ties, in any order. More sources than slots in a frame is an error. An empty
+    doc_id are scheduled too. Repeated rows are each scheduled; they are ties, in any order. Any number of sources fits (see above). An empty
     table gives an empty result. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("units"))
@@ -105,6 +108,8 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = written(buckets.withColumn("before", before), "buckets", spark)
     totals = buckets.groupBy("source").agg(F.sum("sum").alias("units"))
+    n = totals.count()
+    frame = frame if n <= frame else 2 * n
     share = shares(totals, frame, weights, temperature)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("units") / block_units)).cast("long")
     share = share.withColumn("blocks", blocks)
@@ -117,8 +122,8 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     at = a.join(b, F.col("a.source").eqNullSafe(F.col("b.s")) & (F.col("a.bucket") == F.col("b.k"))).select(*keep, (F.col("before") + F.col("inner")).alias("at"))
     # the mixture ends with the last first reading of any source
     last = share.withColumn("nth", ((F.col("blocks") - 1) % F.col("share")).cast("int")).join(slots, ["rank", "nth"])
-    last = last.agg(F.max(F.floor((F.col("blocks") - 1) / F.col("share")) * frame + F.col("slot")).alias("end"))
-    plan = share.select(F.col("source").alias("s"), "rank", "share", "blocks", "frames").join(F.broadcast(last), how="left")  # one row
+    end = last.agg(F.max(F.floor((F.col("blocks") - 1) / F.col("share")) * frame + F.col("slot")).alias("end")).first()["end"]
+    plan = share.select(F.col("source").alias("s"), "rank", "share", "blocks", "frames")
     placed = at.join(F.broadcast(plan), at.source.eqNullSafe(plan.s)).drop("s")  # at most a row for each slot of a frame
     placed = placed.withColumn("block", F.least(F.floor(F.col("at") / block_units), F.col("blocks") - 1).cast("long"))
     placed = placed.withColumn("rounds", F.floor((F.col("share") * F.col("frames") - F.col("block") - 1) / F.col("blocks")).cast("long"))
@@ -127,7 +132,7 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     slots = slots.withColumnRenamed("slot", "in_frame")
     placed = placed.join(F.broadcast(slots), ["rank", "nth"])  # FRAME rows
     slot = F.floor(F.col("index") / F.col("share")) * frame + F.col("in_frame")
-    return placed.withColumn("slot", slot.cast("long")).filter("slot <= end").select(*keep, "block", "epoch", "slot", "at")
+    return placed.withColumn("slot", slot.cast("long")).filter(F.col("slot") <= F.lit(end)).select(*keep, "block", "epoch", "slot", "at")
 
 
 #: DuckDB SQL for mixed() over documents, with its default parameters; the frame's schedule is a recursive query.

@@ -79,8 +79,11 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.epoch) for r in mixed(df).collect()) == [(1, 0), (1, 0)]
     assert mixed(df.limit(0)).count() == 0
     many = spark.createDataFrame([(i, "a", f"s{i}", 1, "x") for i in range(9)], DOCS)
-    with pytest.raises(Exception, match="more sources than slots"):
-        mixed(many, frame=5).collect()
+    rows = [(r.doc_id, r.text, r.source) for r in many.collect()]
+    got = mixed(many, frame=5, block_units=10).collect()  # more sources than slots: two slots for each
+    assert sorted((r.doc_id, r.source, r.block, r.epoch, r.slot, r["at"]) for r in got) == sorted(brute(rows, 2 * len({s for _, _, s in rows}), 10, 0.8))
+    none = mixed(many, weights={"s0": 1.0, "s1": 0.0}, frame=9, block_units=10).collect()
+    assert {r.source for r in none} == {"s0"} and len(none) == sum(s == "s0" for _, _, s in rows)
     even = mixed(many, weights={f"s{i}": 1.0 for i in range(9)}, frame=9, block_units=10).collect()
     assert sorted(r.slot for r in even) == list(range(9))
 
