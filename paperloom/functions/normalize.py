@@ -10,8 +10,11 @@ from .lexical import let
 WORD = r"\p{Lu}\p{Ll}"
 
 
-def strip_punctuation(s: Column, rounds: int = 4) -> Column:
-    """Leading junk off, unpaired outer brackets off. Each round takes a layer; rounds bounds the layers."""
+def strip_punctuation(s: Column) -> Column:
+    """Leading junk off, unpaired outer brackets off, until nothing changes.
+
+    A layer is taken at a time, so the text's length bounds the rounds; once a round changes nothing the others cost nothing.
+    """
 
     def close(x: Column) -> Column:
         return F.when(x.rlike(r"\p{Pe}$") & ~x.rlike(r"\p{Ps}[^\p{Pe}\p{Ps}]+\p{Pe}$"), F.regexp_replace(x, r"\p{Pe}+$", "")).otherwise(x)
@@ -19,9 +22,15 @@ def strip_punctuation(s: Column, rounds: int = 4) -> Column:
     def open_(x: Column) -> Column:
         return F.when(x.rlike(r"^\p{Ps}") & ~x.rlike(r"^\p{Ps}[^\p{Pe}\p{Ps}]+\p{Pe}"), F.regexp_replace(x, r"^\p{Ps}+", "")).otherwise(x)
 
-    for _ in range(rounds):
-        s = let(let(F.regexp_replace(s, rf"^[^{WORD}0-9\p{{Ps}}]+", ""), close), open_)
-    return s
+    def layer(x: Column) -> Column:
+        return let(let(F.regexp_replace(x, rf"^[^{WORD}0-9\p{{Ps}}]+", ""), close), open_)
+
+    def step(a: Column, _: Column) -> Column:
+        return F.when(a["done"], a).otherwise(let(layer(a["s"]), lambda t: F.struct(t.alias("s"), (t == a["s"]).alias("done"))))
+
+    # only brackets begin a further layer
+    rounds = lambda x: F.sequence(F.lit(0), F.length(F.regexp_replace(x, r"[^\p{Ps}\p{Pe}]", "")) + 1)
+    return let(s, lambda x: F.when(x.isNull(), x).otherwise(F.aggregate(rounds(x), F.struct(x.alias("s"), F.lit(False).alias("done")), step)["s"]))
 
 
 def volume(s: Column) -> Column:

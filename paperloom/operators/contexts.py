@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexical import let
+
 RADIUS, MOST = 600, 10
 BRACKET = r"[\[(][\p{L}\p{N}.+'-]+(?:[,;]\x20*[\p{L}\p{N}.+'-]+)*[\])]"
 AUTHOR_YEAR = r"\p{Lu}[\p{L}'-]+(?:,?\x20(?:and|&)\x20\p{Lu}[\p{L}'-]+|\x20et\x20al\.?)?,?\x20\(?[12][0-9]{3}[a-z]?\)?"
@@ -57,23 +59,38 @@ def contexts(bodies: DataFrame, refs: DataFrame, radius: int = RADIUS, most: int
     hits = k.join(m, ["doc_id", "key"]).withColumn("best", F.min("rank").over(_by("doc_id", "cite_no"))).filter("rank = best")
     spot = F.struct("start", "end", "hit")
     per = hits.groupBy("doc_id", "cite_no").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
-    bodies = bodies.withColumn("n", F.length("body"))
-    per = per.join(bodies, "doc_id")
     if parity:
+        per = per.join(bodies.select("doc_id", F.length("body").alias("n")), "doc_id")
         per = per.withColumn("spots", F.filter("spots", lambda s: (s["start"] >= radius) & (s["end"] + radius <= F.col("n"))))
     empty = F.slice(F.col("spots"), 1, 0)
     # greedy: a mark counts if it lies behind the last window
     pick = F.aggregate("spots", F.struct(empty.alias("kept"), F.lit(-1).cast("long").alias("past")), lambda a, s: F.when((s["start"] - radius >= a["past"]) | (a["past"] < 0), F.struct(F.concat(a["kept"], F.array(s)).alias("kept"), (s["end"] + radius).alias("past"))).otherwise(a))
-    per = per.select("doc_id", "cite_no", "body", F.explode(F.slice(pick["kept"], 1, most)).alias("s"))
-    start = F.greatest(F.col("s.start") - radius, F.lit(0)).cast("int")
-    before = F.substr("body", F.lit(1), F.col("s.start").cast("int"))
+    picked = per.select("doc_id", "cite_no", F.explode(F.slice(pick["kept"], 1, most)).alias("s"))
+    # a document's marks in order meet its body in one row: each body is moved once, and its words are counted from mark to mark
+    marks = picked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.hit").alias("hit"), "cite_no"))).alias("marks"))
     count = lambda c: F.size(F.filter(F.split(c, r"[\x09-\x0D\x20]+", -1), lambda t: t != ""))
-    joined = ~(before.endswith(" ") | (before == ""))
-    first = count(before) - joined.cast("int")
-    cit = F.when(~F.col("s.hit").contains("(") & F.endswith("s.hit", F.lit(")")), F.regexp_replace("s.hit", r"\)$", "")).otherwise(F.col("s.hit"))
-    return per.select(
-        "doc_id", "cite_no", F.substr("body", start + 1, (F.col("s.end") + radius - start).cast("int")).alias("context"),
-        F.col("s.end").alias("position"), cit.alias("cit_str"), first.alias("start_word"), (first + count(F.col("s.hit")) - 1).alias("end_word"),
+    blank = r"^[\x09-\x0D\x20]"
+
+    def one(x: Column, i: Column) -> Column:
+        begin = F.greatest(x["start"] - radius, F.lit(0)).cast("int")
+        last = F.when(i > 0, F.get("marks", i - 1)["start"]).otherwise(0)
+        # the words that begin between the last mark and this one; a word that runs on from before isn't one of them
+        from_ = F.greatest(last - 1, F.lit(0)).cast("int")
+        part = F.substr("body", from_ + 1, (x["start"] - from_).cast("int"))
+        words = let(part, lambda t: count(t) - ((last > 0) & ~t.rlike(blank) & (t != "")).cast("int"))
+        runs_on = ~F.substr("body", x["start"].cast("int"), F.lit(1)).rlike(blank) & (x["start"] > 0)
+        text = F.substr("body", begin + 1, (x["end"] + radius - begin).cast("int"))
+        return F.struct(x["cite_no"].alias("cite_no"), x["hit"].alias("hit"), x["end"].alias("end"), text.alias("context"), words.alias("words"), runs_on.alias("runs_on"))
+
+    rows = marks.join(bodies.select("doc_id", "body"), "doc_id").select("doc_id", F.posexplode(F.transform("marks", one)).alias("i", "x"))
+    before = F.sum("x.words").over(_by("doc_id").orderBy("i")).cast("int")
+    hit = F.col("x.hit")
+    cit = F.when(~hit.contains("(") & F.endswith(hit, F.lit(")")), F.regexp_replace(hit, r"\)$", "")).otherwise(hit)
+    first = before - F.col("x.runs_on").cast("int")
+    out = rows.withColumn("first", first)
+    return out.select(
+        "doc_id", "x.cite_no", "x.context", F.col("x.end").alias("position"), cit.alias("cit_str"),
+        F.col("first").alias("start_word"), (F.col("first") + count(hit) - 1).alias("end_word"),
     )
 
 

@@ -43,7 +43,8 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def header_part(lines: DataFrame) -> DataFrame:
     """Lines before the first that holds the word introduction; comments go."""
     stop = lines.filter(F.lower("text").contains("introduction")).groupBy("doc_id").agg(F.min("line_no").alias("stop"))
-    return lines.join(stop, "doc_id", "left").filter((F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & ~F.startswith("text", F.lit("#"))).drop("stop")
+    stop = stop.withColumnRenamed("stop", "__stop")
+    return lines.join(stop, "doc_id", "left").filter((F.col("__stop").isNull() | (F.col("line_no") < F.col("__stop"))) & ~F.startswith("text", F.lit("#"))).drop("__stop")
 
 
 def presegmented(lines: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def runs(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
     """rows with run_no: maximal runs of equal labels within a key."""
     w = Window.partitionBy(key).orderBy(order)
     new = F.coalesce((F.lag(label).over(w) != F.col(label)).cast("int"), F.lit(0))
-    return rows.withColumn("new", new).withColumn("run_no", F.sum("new").over(w)).drop("new")
+    return rows.withColumn("__new", new).withColumn("run_no", F.sum("__new").over(w)).drop("__new")
 
 
 def first_per_tag(rows: DataFrame, key: str, tag: str, order: str, value: str) -> DataFrame:
@@ -146,6 +147,38 @@ def split_by_marker(refs: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("g")) - 1).alias("cite_no"), F.col("kind").alias("marker_type"), "marker", "raw")
 
 
+YEAR = r"(?:^|[^\p{L}\p{N}_])\(?[12][0-9]{3}[a-z]?(?:$|[^\p{L}\p{N}_])"
+
+
+def split_unmarked(refs: DataFrame) -> DataFrame:
+    """refs (doc_id, l: lines without markers) to doc_id, cite_no, raw: cut where a citation seems to begin.
+
+    A line with an upper-case letter is a boundary behind a line of less than two characters; behind lines of authors (no
+    digits, three separators or more), of which the first that follows a full stop then begins the citation; or behind a line
+    that ends a sentence (not in an initial), unless it begins with four digits. A line with a year confirms the last boundary up
+    to it, or the section's beginning; each confirmed one begins a citation. Windows by document; every line is looked at once.
+    """
+    w = Window.partitionBy("doc_id").orderBy("no")
+    line = F.col("line")
+    rows = refs.select("doc_id", F.posexplode("l").alias("no", "line"))
+    authors = ~line.rlike("[0-9]") & (F.length(line) - F.length(F.translate(line, ",;", "")) >= 3)
+    rows = rows.select("doc_id", "no", "line", F.lag("line").over(w).alias("prev"), authors.alias("authors"), F.sum((~authors).cast("int")).over(w).alias("block"))
+    begins = F.when(F.col("authors") & F.col("prev").rlike(r"\.[\x09-\x0D\x20]*$"), F.col("no"))
+    in_block = Window.partitionBy("doc_id", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("list", F.when(F.col("authors"), F.min(begins).over(in_block)))
+    upper = line.rlike(r"\p{Lu}") & (F.col("no") > 0)
+    sentence = F.col("prev").rlike(r"[^.][^\n]\.[\x09-\x0D\x20]*$") & ~line.rlike("^[0-9]{4}")
+    rows = rows.withColumn("list", F.lag("list").over(w))
+    at = F.when(upper & (F.length("prev") < 2), F.col("no")).when(upper & F.col("list").isNotNull(), F.col("list")).when(upper & sentence, F.col("no"))
+    start = F.coalesce(F.last(at, ignorenulls=True).over(w), F.lit(0))
+    confirmed = F.max(F.when(line.rlike(YEAR), F.col("start"))).over(w)  # never goes back
+    rows = rows.withColumn("start", start).withColumn("confirmed", confirmed)
+    starts = rows.filter("confirmed is not null").select("doc_id", F.col("confirmed").alias("no"), F.lit(1).alias("first")).distinct()
+    rows = rows.select("doc_id", "no", "line").join(starts, ["doc_id", "no"], "left").withColumn("g", F.count("first").over(w))
+    out = rows.groupBy("doc_id", "g").agg(merged(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"])).alias("raw")).filter("raw != ''")
+    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("g")) - 1).alias("cite_no"), "raw")
+
+
 def expand_ranges(text: Column) -> Column:
     """Number ranges in square brackets written out: [1, 3-5] as [1, 3, 4, 5]. Every range of a bracket is expanded; ranges
     of more than 1,000 or that don't rise stay."""

@@ -41,15 +41,15 @@ def section_breaks(rows: DataFrame, key: str, order: list[str], columns: list[st
     """section: counts the rows at which any column changes."""
     w = Window.partitionBy(key).orderBy(*order)
     here = F.struct(*columns)
-    return rows.withColumn("b", F.coalesce((F.lag(here).over(w) != here).cast("int"), F.lit(0))).withColumn("section", F.sum("b").over(w)).drop("b")
+    return rows.withColumn("__new", F.coalesce((F.lag(here).over(w) != here).cast("int"), F.lit(0))).withColumn("section", F.sum("__new").over(w)).drop("__new")
 
 
 def gap_breaks(rows: DataFrame, key: str, order: list[str], left: str, right: str, factor: float = 5.0) -> DataFrame:
     """sequence: a new one begins where the gap to the row before is over factor times the gap before that."""
     w = Window.partitionBy(key).orderBy(*order)
-    rows = rows.withColumn("gap", F.col(left) - F.lag(right).over(w))
-    rows = rows.withColumn("b", F.coalesce((F.col("gap") > factor * F.lag("gap").over(w)).cast("int"), F.lit(0)))
-    return rows.withColumn("sequence", F.sum("b").over(w)).drop("b", "gap")
+    rows = rows.withColumn("__gap", F.col(left) - F.lag(right).over(w))
+    rows = rows.withColumn("__new", F.coalesce((F.col("__gap") > factor * F.lag("__gap").over(w)).cast("int"), F.lit(0)))
+    return rows.withColumn("sequence", F.sum("__new").over(w)).drop("__new", "__gap")
 
 
 def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str | Column) -> DataFrame:
@@ -60,8 +60,8 @@ def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str | Co
 
 
 def vertical_bins(rows: DataFrame, key: str, position: str, bins: int = 8) -> DataFrame:
-    ext = rows.groupBy(key).agg(F.min(position).alias("lo"), F.max(position).alias("hi"))
-    return rows.join(ext, key).withColumn("bin", F.floor((F.col(position) - F.col("lo")) * bins / (F.col("hi") - F.col("lo") + 1)).cast("int")).drop("lo", "hi")
+    ext = rows.groupBy(key).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
+    return rows.join(ext, key).withColumn("bin", F.floor((F.col(position) - F.col("__lo")) * bins / (F.col("__hi") - F.col("__lo") + 1)).cast("int")).drop("__lo", "__hi")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, x: str, y: str, right_id: str, left_id: str, distance: str = "distance") -> DataFrame:
@@ -88,17 +88,20 @@ def signal_match(author: Column, affiliation: Column) -> Column:
 
 
 def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """fold: row number mod k, in the order of a unique integer column.
+    """row (number, from 0) and fold (row mod k), in the order of a unique number column.
 
-    Numbers the rows by ranges of order: a first pass counts each range, so no task holds all rows.
+    Numbered within ranges of about equal numbers of rows, whatever the column's values: their bounds are approximate
+    quantiles, at most 1,023, so no task holds all rows; then each range's rows are counted, and only these counts meet in one place.
     """
-    width = 1 << 16
-    part = F.floor(F.col(order) / width)
-    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("part", before.alias("before"))  # a row for each range
-    rows = rows.withColumn("part", part).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
-    return rows.join(counts, "part").withColumn("row", F.col("before") + F.col("i")).withColumn("fold", F.pmod("row", F.lit(k)).cast("int")).drop("part", "i", "before")
+    parts = min(1024, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] or []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))) if bounds else F.array().cast("array<long>"), lambda b: b <= F.col(order)))
+    rows = rows.withColumn("__part", part)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))  # a row for each range
+    out = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1).join(F.broadcast(counts), "__part")
+    return out.withColumn("row", F.col("__before") + F.col("__i")).withColumn("fold", F.pmod("row", F.lit(k)).cast("int")).drop("__part", "__i", "__before")
 
 
 def confusion(rows: DataFrame, gold: str, guess: str) -> DataFrame:
@@ -123,11 +126,10 @@ def chunks(rows: DataFrame, key: str, order: str, tag: str) -> DataFrame:
     """Chunks of B-, I-, E- and O tags: key, type, begin, end. An I- of another type than before begins a chunk."""
     w = Window.partitionBy(key).orderBy(order)
     kind = F.when(F.col(tag) == "O", None).otherwise(F.regexp_replace(tag, "^[A-Z]-", ""))
-    head = F.substring(tag, 1, 1)
-    rows = rows.withColumn("kind", kind).withColumn("head", head)
-    new = F.col("kind").isNotNull() & ((F.col("head") == "B") | ~F.lag("kind").over(w).eqNullSafe(F.col("kind")) | F.coalesce(F.lag("head").over(w) == "E", F.lit(False)))
-    rows = rows.withColumn("c", F.sum(new.cast("int")).over(w)).filter("kind is not null")
-    return rows.groupBy(key, "c").agg(F.first("kind").alias("type"), F.min(order).alias("begin"), F.max(order).alias("end")).drop("c")
+    rows = rows.select(F.col(key), F.col(order), kind.alias("__kind"), F.substring(tag, 1, 1).alias("__head"))
+    new = F.col("__kind").isNotNull() & ((F.col("__head") == "B") | ~F.lag("__kind").over(w).eqNullSafe(F.col("__kind")) | F.coalesce(F.lag("__head").over(w) == "E", F.lit(False)))
+    rows = rows.withColumn("__c", F.sum(new.cast("int")).over(w)).filter("__kind is not null")
+    return rows.groupBy(key, "__c").agg(F.first("__kind").alias("type"), F.min(order).alias("begin"), F.max(order).alias("end")).drop("__c")
 
 
 def chunk_scores(rows: DataFrame, key: str, order: str, gold: str, guess: str) -> DataFrame:
@@ -156,14 +158,14 @@ def address_filter(rows: DataFrame, key: str, order: str, label: str) -> DataFra
     """Author and affiliation rows, and address rows whose last other label was affiliation."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(label) != "address", F.col(label)), ignorenulls=True).over(w)
-    return rows.withColumn("last", last).filter((F.col(label).isin("author", "affiliation")) | ((F.col(label) == "address") & (F.col("last") == "affiliation"))).drop("last")
+    return rows.withColumn("__last", last).filter((F.col(label).isin("author", "affiliation")) | ((F.col(label) == "address") & (F.col("__last") == "affiliation"))).drop("__last")
 
 
 def signal_fanout(rows: DataFrame, key: str, order: str, kind: str, value: str) -> DataFrame:
     """Signals after a group of authors go to each author of it: key, author, signal."""
     w = Window.partitionBy(key).orderBy(order)
     start = ((F.col(kind) == "author") & (F.coalesce(F.lag(kind).over(w), F.lit("signal")) == "signal")).cast("int")
-    rows = rows.withColumn("g", F.sum("s").over(w)) if "s" in rows.columns else rows.withColumn("s", start).withColumn("g", F.sum("s").over(w))
-    a = rows.filter(F.col(kind) == "author").select(key, "g", F.col(value).alias("author"))
-    b = rows.filter(F.col(kind) == "signal").select(key, "g", F.col(value).alias("signal"))
-    return a.join(b, [key, "g"]).drop("g")
+    rows = rows.select(F.col(key), F.col(order), F.col(kind), F.col(value), start.alias("__start")).withColumn("__g", F.sum("__start").over(w))
+    a = rows.filter(F.col(kind) == "author").select(key, "__g", F.col(value).alias("author"))
+    b = rows.filter(F.col(kind) == "signal").select(key, "__g", F.col(value).alias("signal"))
+    return a.join(b, [key, "__g"]).drop("__g")

@@ -421,15 +421,9 @@ def junk_lines(spark, sf_dir):
     return docs.select("doc_id", F.array_join(D.without_junk(F.col("l")), "|").alias("lines")).filter("lines != ''")
 
 
-@query(r"SELECT doc_id, replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), chr(10)), '([A-Za-z])-\n', '\1', 'g'), '-\n', '-', 'g'), chr(10), ' ') AS merged FROM (SELECT doc_id, regexp_replace(text, 't ', '-' || chr(10), 'g') AS text FROM documents WHERE length(text) < 2000 AND NOT regexp_matches(text, '^[\x09-\x0D\x20]|[\x09-\x0D\x20]$'))")
-def merge_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter((F.length("text") < 2000) & ~F.col("text").rlike(r"^[\x09-\x0D\x20]|[\x09-\x0D\x20]$"))
-    return docs.select("doc_id", D.merged(F.split(F.replace("text", F.lit("t "), F.lit("-\n")), "\n", -1)).alias("merged"))
-
-
 @query(r"SELECT doc_id, trim(replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), chr(10)), '([A-Za-z])-\n', '\1', 'g'), '-\n', '-', 'g'), chr(10), ' '), ' ') AS merged FROM (SELECT doc_id, regexp_replace(text, 't ', '-' || chr(10), 'g') AS text FROM documents)")
-def merge_lines_whole(spark, sf_dir):
-    """merge_lines over every document: long texts, texts with white space at their ends, and null texts (null) too."""
+def merge_lines(spark, sf_dir):
+    """Over every document: long texts, texts with white space at their ends, and null texts (null) too."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", D.merged(F.split(F.replace("text", F.lit("t "), F.lit("-\n")), "\n", -1)).alias("merged"))
 

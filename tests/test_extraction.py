@@ -82,10 +82,14 @@ def test_ranges(spark, text, want):
     assert value(spark, D.expand_ranges(F.lit(text))) == want
 
 
-def test_unmarked_references():
+def test_unmarked_references(spark):
     lines = ["Berg, A., Rossi, H., and Silva, L.", "1999. Fast parsing of records.", "Data Review.", "Weiss, V. 2001. Lexical tagging", "of tables in the U.S.A.", "and beyond. Oslo.", "Xu, W. 2004. Caching. Lima."]
-    got = pipelines.segment_unmarked(lines)
-    assert [g[0].split(",")[0] for g in got] == ["Berg", "Weiss", "Xu"]
+    other = ["Adam, B., Cole, D., Eve, F.,", "Gill, H. 1990. One.", "Iris, J., Kay, L., Moe, N.,", "Otto, P. 1991. Two.", "", "Quinn, R. 1992. Three"]
+    df = spark.createDataFrame([(1, lines), (2, other), (3, ["no year at all.", "Nor here"]), (4, ["x 2001"]), (5, [])], "doc_id int, l array<string>")
+    got = {}
+    for r in D.split_unmarked(df).orderBy("doc_id", "cite_no").collect():
+        got.setdefault(r.doc_id, []).append(r.raw.split(",")[0])
+    assert got == {1: ["Berg", "Weiss", "Xu"], 2: ["Adam", "Iris", "Quinn"], 3: ["no year at all. Nor here"], 4: ["x 2001"]}
 
 
 def test_citations_end_to_end(spark):
