@@ -119,19 +119,21 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([ids[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "label", "slots"])
 
 
+def scores(col: pa.Array, weights: np.ndarray, bias: float, a: float, shift: float) -> np.ndarray:
+    """The score of each text of a column."""
+    ids, first = features(col)
+    total = np.concatenate([[0.0], np.cumsum(weights[ids])])
+    margin = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, np.diff(first))) + bias
+    return np.round(1 / (1 + np.exp(-np.clip(a * margin + shift, -30, 30))), 9)
+
+
 def _score(model):
     names = ["doc_id", "held_out", "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, a, b0 = model.value
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, first = features(b.column(1))
-                total = np.concatenate([[0.0], np.cumsum(weights[ids])])
-                n = np.maximum(1, np.diff(first))
-                margin = (total[first[1:]] - total[first[:-1]]) / np.sqrt(n) + bias
-                score = 1 / (1 + np.exp(-np.clip(a * margin + b0, -30, 30)))
-                score = np.round(score, 9)
+                score = scores(b.column(1), *model.value)
                 held = crc(b.column(0).to_pylist()) % 3 == 1
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names)
 
@@ -176,17 +178,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", per_cl
     """The rows of docs that score threshold or more, with all their columns. See quality_scores."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, per_class))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        weights, bias, a, b0 = model.value
-        out = []
-        for b in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
-            ids, first = features(b.column(0))
-            total = np.concatenate([[0.0], np.cumsum(weights[ids])])
-            m = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(1, np.diff(first))) + bias
-            out.append(np.round(1 / (1 + np.exp(-np.clip(a * m + b0, -30, 30))), 9))
-        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for b in slices(whole, "text"):
+                yield b.filter(pa.array(scores(b.column(at), *model.value) >= threshold))
 
-    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
