@@ -103,7 +103,8 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     spark = rows.sparkSession
     keep = ["doc_id", "source", "units", *(["row"] if "row" in rows.columns else [])]
     # 4,096 buckets by the hash's first three digits: a third of 10^9 rows is some 10^5 to a bucket
-    rows = rows.withColumn("bucket", F.substring("order", 1, 3))
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit(""))  # noqa: E731 - a null source as a key of plain joins
+    rows = rows.withColumn("key", key(F.col("source"))).withColumn("bucket", F.substring("order", 1, 3))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("units").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = written(buckets.withColumn("before", before), "buckets", spark)
@@ -116,10 +117,10 @@ def schedule(rows: DataFrame, weights: dict[str, float] | None, temperature: flo
     share = share.withColumn("frames", F.max(F.ceil(F.col("blocks") / F.col("share"))).over(Window.partitionBy(F.lit(0))).cast("long"))
     share = written(share, "shares", spark)
     slots = written(pattern(share.select("rank", "share")), "pattern", spark)
-    inner = F.coalesce(F.sum("units").over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("units").over(Window.partitionBy("key", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = rows.withColumn("inner", inner)
-    a, b = at.alias("a"), buckets.select(F.col("source").alias("s"), F.col("bucket").alias("k"), "before").alias("b")
-    at = a.join(b, F.col("a.source").eqNullSafe(F.col("b.s")) & (F.col("a.bucket") == F.col("b.k"))).select(*keep, (F.col("before") + F.col("inner")).alias("at"))
+    # the rows lie by key and bucket already: this join moves none of them again
+    at = at.join(buckets.select(key(F.col("source")).alias("key"), "bucket", "before"), ["key", "bucket"]).select(*keep, (F.col("before") + F.col("inner")).alias("at"))
     # the mixture ends with the last first reading of any source
     last = share.withColumn("nth", ((F.col("blocks") - 1) % F.col("share")).cast("int")).join(slots, ["rank", "nth"])
     end = last.agg(F.max(F.floor((F.col("blocks") - 1) / F.col("share")) * frame + F.col("slot")).alias("end")).first()["end"]
