@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a single-process session (tests) gets a
+    temporary one; on a cluster that is an error, as its executors share no such folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("paperloom.shared.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("paperloom.shared.dir", at)
     return at.rstrip("/")
