@@ -1,9 +1,9 @@
 """Sampled SentencePiece segmentation: forward filtering, backward sampling over the piece lattice, and exact decoding.
 
 A text, with the model's leading space, is cut before every run of spaces; no piece of the model spans such a cut, so the
-lattice of a text is the product of its units' lattices. Each distinct unit of a batch gets its lattice once: all pieces
-at all positions (and byte pieces for characters that have none), forward sums of piece weights exp(alpha * score), and
-at every position the distribution of the last piece. Every occurrence then draws its pieces backwards from the unit's end.
+lattice of a text is the product of its units' lattices. Each distinct unit of a batch gets its lattice once, and the units
+that a worker met first keep theirs for its later texts: all pieces at all positions (and byte pieces for characters that
+have none), forward sums of piece weights exp(alpha * score), and at every position the distribution of the last piece. Every occurrence then draws its pieces backwards from the unit's end.
 The draws come from a counter: the row's key, the unit's number in its row, and the step. Each position's distribution is
 kept in integers (of 2^-40), and its sums are those of its unit alone. So a row's segmentation depends on its key, text,
 model, alpha and seed only, to the last bit, not on batches, partitions or retries.
@@ -16,6 +16,7 @@ Decoding is exact: a literal U+2581 is never taken for the space mark, but spell
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -29,10 +30,12 @@ from .text import U64, column, hash_spans, mix, slices
 
 ALPHA = 2e-4
 LOCKSTEP = 4096  # bytes of a unit that advances with others
+_ALONE = 65535  # the place in its unit of a byte that doesn't
 SCALE = 16  # bytes between scalings: sums stay within a double
 FEW = 48  # occurrences that draw on one after the other
 ONE = 1 << 40
-CHUNK = 1 << 20
+KNOWN = 1 << 20  # edges of the lattice that a worker keeps, 16 bytes each
+CHUNK = 1 << 18
 MARK = "▁"
 _STEP = 0x9E3779B97F4A7C15
 _BASE = U64(0xC2B2AE3D27D4EB4F)
@@ -77,13 +80,17 @@ class Model:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces are alike")
         self.longest = max(map(len, spelled))
-        self.is_piece, self.is_prefix = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        self.is_piece[(hashes >> U64(44)).astype(np.int64)] = True
-        for x in {spelled[i][:k] for i in normal for k in range(1, len(spelled[i]) + 1)}:
-            self.is_prefix[_roll(x) >> 44] = True
+        # by a hash's first 20 bits: 1 where a piece may be, 2 where a beginning of one may be; and the first such piece
+        bits = (self.hashes >> U64(44)).astype(np.int64)
+        self.kind, self.slot = np.zeros(1 << 20, np.uint8), np.zeros(1 << 20, np.int32)
+        self.kind[bits] = 1
+        self.kind[np.unique([_roll(x) >> 44 for x in {spelled[i][:k] for i in normal for k in range(1, len(spelled[i]) + 1)}])] |= 2
+        self.slot[bits[::-1]] = np.arange(len(bits), dtype=np.int32)[::-1]
+        self.alike = int(np.unique(bits, return_counts=True)[1].max()) if len(bits) else 0  # pieces with the same bits
         self.size = np.array([len(x) for x in spelled])
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+        self.known: Known | None = None
 
 
 def model(path: str, alpha: float) -> Model:
@@ -93,36 +100,49 @@ def model(path: str, alpha: float) -> Model:
 
 
 def _edges(m: Model, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pieces within units: start, length, id. data: the units' bytes in a row; stop: for each byte its unit's end."""
-    at = np.arange(len(data))
-    h = np.zeros(len(data), np.uint64)
-    starts, lengths, ids = [], [], []
+    """All pieces within units, by the byte where they end: each byte's first (length n + 1), the pieces' length and id.
+    data: the units' bytes in a row; stop: for each byte its unit's end."""
+    size = len(data)
+    wide = np.int32 if size * m.longest < 1 << 31 else np.int64
+    at = np.arange(size, dtype=wide)
+    left = np.minimum(stop - at, 255 if m.longest < 255 else 1 << 30).astype(np.uint8 if m.longest < 255 else wide)
+    h = np.zeros(size, np.uint64)
+    first = np.flatnonzero((data & 0xC0) != 0x80).astype(wide)
+    width = np.diff(first, append=wide(size))
+    whole = np.zeros(size, wide)
+    whole[first] = width
+    bare = np.ones(size, bool)  # characters without a piece of their own
+    found, count = [], np.zeros(size, np.int32)
     for n in range(1, m.longest + 1):
-        if n > 1:
-            ok = at + n <= stop[at]
-            at, h = at[ok], h[ok]
         if not len(at):
             break
-        h = h * _BASE + _CODE[data[at + n - 1]]
-        bits = (h >> U64(44)).astype(np.int64)
-        maybe = np.flatnonzero(m.is_piece[bits])
-        k = np.minimum(np.searchsorted(m.hashes, h[maybe]), len(m.hashes) - 1)
-        hit = m.hashes[k] == h[maybe]
-        starts.append(at[maybe[hit]])
-        lengths.append(np.full(len(starts[-1]), n))
-        ids.append(m.ids[k[hit]])
-        go = m.is_prefix[bits]
-        at, h = at[go], h[go]
-    start, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, ids))
-    head = (data & 0xC0) != 0x80
-    first = np.flatnonzero(head)
-    width = np.diff(first, append=len(data))
-    whole = np.zeros(len(data), np.int64)
-    whole[first] = width
-    bare = np.ones(len(data), bool)
-    bare[start[length == whole[start]]] = False  # characters with a piece of their own
-    lone = np.flatnonzero(np.repeat(bare[first], width))
-    return np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int64)]), np.concatenate([piece, m.byte[data[lone]]])
+        h = h * _BASE + _CODE[data[at + (n - 1)]]
+        bits = (h >> U64(44)).astype(np.int32)
+        kind = m.kind[bits]
+        maybe = np.flatnonzero(kind & 1)
+        k, want = m.slot[bits[maybe]], h[maybe]
+        hit = m.hashes[k] == want
+        for _ in range(m.alike - 1):
+            again = np.flatnonzero(~hit)
+            k[again] = np.minimum(k[again] + 1, len(m.hashes) - 1)
+            hit[again] = m.hashes[k[again]] == want[again]
+        start = at[maybe[hit]]
+        bare[start[whole[start] == n]] = False
+        count[start + (n - 1)] += 1  # starts differ
+        found.append((start + (n - 1), n, m.ids[k[hit]]))
+        go = np.flatnonzero((kind > 1) & (left > n))
+        at, h, left = at[go], h[go], left[go]
+    lone = np.flatnonzero(np.repeat(bare[first], width)).astype(wide)
+    count[lone] += 1
+    found.append((lone, 1, m.byte[data[lone]]))
+    to = np.zeros(size + 1, wide)
+    np.cumsum(count, out=to[1:])
+    length, piece, free = np.empty(to[-1], np.int32), np.empty(to[-1], np.int32), to[:-1].copy()
+    for node, n, ids in found:
+        place = free[node]
+        free[node] += 1
+        length[place], piece[place] = n, ids
+    return to, length, piece
 
 
 class Lattice:
@@ -130,22 +150,22 @@ class Lattice:
 
     def __init__(self, m: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
         size = end - begin
-        stop, unit = np.repeat(end, size), np.repeat(begin, size)
-        start, length, piece = _edges(m, data, stop)
-        node = start + length - 1
-        order = np.argsort(node, kind="stable")
-        start, length, piece, node = start[order], length[order], piece[order], node[order]
-        self.first = np.searchsorted(node, np.arange(len(data) + 1))
-        self.piece, self.length = piece, length
+        wide = np.int32 if len(data) * m.longest < 1 << 31 else np.int64
+        stop, unit = np.repeat(end.astype(wide), size), np.repeat(begin.astype(wide), size)
+        self.first, self.length, self.piece = _edges(m, data, stop)
+        length, piece, each = self.length, self.piece, np.diff(self.first)
+        rel = np.arange(len(data), dtype=wide)
+        node = np.repeat(rel, each)
+        start = node - length + 1
+        rel = np.where(np.repeat(size <= LOCKSTEP, size), rel - unit, _ALONE).astype(np.uint16)
         weight, share = m.weight[piece], np.zeros(len(piece))
-        together = np.repeat(size <= LOCKSTEP, size)
-        self._side_by_side(m.longest, np.where(together[node], node - unit[node], -1), start, node, unit, weight, share)
+        self._side_by_side(m.longest, np.repeat(rel, each), start, node, unit, weight, share)
         for u in np.flatnonzero(size > LOCKSTEP):
             self._alone(m.longest, int(begin[u]), int(end[u]), start, weight, share)
         part = np.floor(share * ONE).astype(np.int64)
         total = np.cumsum(part)
         self.cumulative = total - (total - part)[self.first[node]]
-        last = self.first[1:][np.diff(self.first) > 0] - 1
+        last = self.first[1:][each > 0] - 1
         # nothing lies beyond the last piece that can be reached; rounding must not step over it
         reach = np.maximum.accumulate(np.where(share > 0, np.arange(len(share)), -1))
         self.cumulative[reach[last][reach[last] >= 0]] = 2 * ONE
@@ -153,16 +173,17 @@ class Lattice:
     @staticmethod
     def _side_by_side(longest, rel, start, node, unit, weight, share) -> None:
         forward, origin = np.zeros(len(unit)), np.ones(len(unit))  # origin: the scale of a unit's beginning
-        by = np.argsort(rel, kind="stable")
-        cuts = np.searchsorted(rel[by], np.arange(rel.max(initial=-1) + 2))
+        by = np.argsort(rel, kind="stable").astype(node.dtype)  # of 16 bits: by radix
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(rel[rel != _ALONE]))])
         for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a == b:
                 continue
             e = by[a:b]
             n, s = node[e], start[e]
+            heads = np.flatnonzero(np.diff(n, prepend=n.dtype.type(-1)))
             if at and at % SCALE == 0:
                 # units whose last sums have become small: scaled up, back to the longest piece
-                ends = n[np.flatnonzero(np.diff(n, prepend=-1))]
+                ends = n[heads]
                 back = ends[:, None] - np.arange(1, min(longest, at) + 1)
                 top = np.frexp(forward[back].max(axis=1))[1]
                 low = top < -64
@@ -171,7 +192,6 @@ class Lattice:
                     if at < longest:
                         origin[unit[ends[low]]] = np.ldexp(origin[unit[ends[low]]], -top[low])
             c = np.where(s == unit[n], origin[s], forward[s - 1]) * weight[e]
-            heads = np.flatnonzero(np.diff(n, prepend=-1))
             total = np.add.reduceat(c, heads)
             forward[n[heads]] = total
             total = np.repeat(total, np.diff(heads, append=len(n)))
@@ -222,6 +242,48 @@ class Lattice:
             at -= length[e]
         return self.piece[lo + np.array(out, np.int64)].astype(np.int32)
 
+    def draw(self, occ: np.ndarray, node: np.ndarray, low: np.ndarray, key: np.ndarray, counts: np.ndarray) -> tuple[list, list]:
+        """Draws pieces backwards for the occurrences occ, of units from low to node, and counts them. For each step the
+        occurrences still on and their pieces; and what the last few drew after these."""
+        took, step = [], 0
+        while len(occ) > FEW:
+            u = (mix(key[occ] + U64(step * _STEP & (2**64 - 1))) >> U64(24)).astype(np.int64)
+            e = self.first[node]
+            more = np.flatnonzero(self.cumulative[e] <= u)
+            while len(more):
+                e[more] += 1
+                more = more[self.cumulative[e[more]] <= u[more]]
+            took.append((occ, self.piece[e]))
+            counts[occ] += 1
+            node = node - self.length[e]
+            on = np.flatnonzero(node >= low)
+            occ, node, low = occ[on], node[on], low[on]
+            step += 1
+        tails = [(o, self.walk(int(v), int(a), key[o], step)) for o, v, a in zip(occ, node, low)]
+        for o, x in tails:
+            counts[o] += len(x)
+        return took, tails
+
+
+class Known:
+    """The units that a worker met first, and their lattice, for its later texts: most of these hold the same units again. A
+    unit's distributions are the same wherever it is met, so this changes no draw. KNOWN edges at most."""
+
+    def __init__(self, before: Known | None, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, lattice: Lattice):
+        if before:
+            a, b, lattice = before.lattice, lattice, copy.copy(lattice)
+            hashes, size = np.concatenate([before.hashes, hashes]), np.concatenate([before.size, size])
+            begin = np.concatenate([before.begin, begin + len(a.first) - 1])
+            lattice.first = np.concatenate([a.first, b.first[1:] + a.first[-1]])
+            lattice.piece, lattice.length, lattice.cumulative = (np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("piece", "length", "cumulative"))
+        order = np.argsort(hashes)
+        self.hashes, self.begin, self.size, self.lattice = hashes[order], begin[order], size[order], lattice
+
+    def find(self, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The units' places here; -1: not here."""
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[k] == hashes) & (self.size[k] == size), k, -1)
+
 
 def segment(m: Model, texts: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled pieces of each text: all ids in a row, and each text's first (length n + 1). An empty text has none."""
@@ -243,38 +305,35 @@ def segment(m: Model, texts: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> t
     end = np.append(begin[1:], len(data))
     row = np.searchsorted(to, begin, "right") - 1
     number = np.arange(len(begin)) - np.searchsorted(begin, to[:-1])[row]
-    _, index, which = np.unique(hash_spans(data, begin, end, lower=False), return_index=True, return_inverse=True)
-    length = (end - begin)[index]
-    b = np.cumsum(length) - length
-    source = np.arange(length.sum()) + np.repeat(begin[index] - b, length)
-    lattice = Lattice(m, data[source], b, b + length)
+    hashes = hash_spans(data, begin, end, lower=False)
+    which = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    index = np.zeros(which.max() + 1, np.int64)
+    index[which[::-1]] = np.arange(len(which))[::-1]  # each unit's first occurrence
+    hashes, length = hashes[index], (end - begin)[index]
+    known = m.known
+    place = known.find(hashes, length) if known else np.full(len(index), -1)
+    new = np.flatnonzero(place < 0)
+    low = known.begin[place] if known else np.zeros(len(index), np.int64)
+    size = length[new]
+    low[new] = np.cumsum(size) - size
+    source = np.arange(size.sum()) + np.repeat(begin[index[new]] - low[new], size)
+    fresh = Lattice(m, data[source], low[new], low[new] + size)
     key = mix(seeds[row] + mix(number.astype(U64)))
-    node, low = b[which] + length[which] - 1, b[which]
-    occ = np.arange(len(begin))
-    took, counts = [], np.zeros(len(begin), np.int64)
-    step = 0
-    while len(occ) > FEW:
-        u = (mix(key[occ] + U64(step * _STEP & (2**64 - 1))) >> U64(24)).astype(np.int64)
-        e = lattice.first[node]
-        more = np.flatnonzero(lattice.cumulative[e] <= u)
-        while len(more):
-            e[more] += 1
-            more = more[lattice.cumulative[e[more]] <= u[more]]
-        took.append((occ, lattice.piece[e].astype(np.int32)))
-        counts[occ] += 1
-        node = node - lattice.length[e]
-        on = node >= low
-        occ, node, low = occ[on], node[on], low[on]
-        step += 1
-    tails = [(o, lattice.walk(int(v), int(a), key[o], step)) for o, v, a in zip(occ, node, low)]
-    for o, x in tails:
-        counts[o] += len(x)
+    first, last = low[which], low[which] + length[which] - 1
+    old = place[which] >= 0
+    counts, drawn = np.zeros(len(begin), np.int64), []
+    for lattice, occ in ((fresh, np.flatnonzero(~old)), (known and known.lattice, np.flatnonzero(old))):
+        if len(occ):
+            drawn.append(lattice.draw(occ, last[occ], first[occ], key, counts))
     ends = np.cumsum(counts)
     ids = np.empty(ends[-1], np.int32)
-    for s, (o, piece) in enumerate(took):
-        ids[ends[o] - 1 - s] = piece
-    for o, x in tails:
-        ids[ends[o] - counts[o] : ends[o] - step] = x[::-1]
+    for took, tails in drawn:
+        for s, (o, piece) in enumerate(took):
+            ids[ends[o] - 1 - s] = piece
+        for o, x in tails:
+            ids[ends[o] - counts[o] : ends[o] - len(took)] = x[::-1]
+    if len(new) and len(fresh.piece) + (len(known.lattice.piece) if known else 0) <= KNOWN:
+        m.known = Known(known, hashes[new], low[new], size, fresh)
     before = np.concatenate([[0], ends])
     return ids, before[np.searchsorted(begin, to)]
 

@@ -120,6 +120,20 @@ def test_a_megabyte_without_spaces():
         assert pieces.join(M, np.array(ids), np.array([0, len(ids)]))[0].tobytes().decode() == text
 
 
+def test_units_met_before_are_not_built_again(monkeypatch):
+    m, built, edges = pieces.Model(PATH, pieces.ALPHA), [], pieces._edges
+    monkeypatch.setattr(pieces, "_edges", lambda m, data, stop: built.append(len(data)) or edges(m, data, stop))
+    data, at = column(pa.array(["the international thing", "日本語の文章 x  y", ""] * 30, pa.string()))
+    keys = pieces._seeds(list(range(90)), 1)
+    a = [x.tolist() for x in pieces.segment(m, data, at, keys)]
+    assert [x.tolist() for x in pieces.segment(m, data, at, keys)] == a
+    assert built[0] > 0 and built[1:] == [0]
+    # beyond the limit units are built each time, and drawn alike
+    monkeypatch.setattr(pieces, "KNOWN", 10)
+    few = pieces.Model(PATH, pieces.ALPHA)
+    assert all([x.tolist() for x in pieces.segment(few, data, at, keys)] == a for _ in range(2)) and few.known is None
+
+
 def test_query_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r.doc_id: r for r in pieces.sample_pieces(docs, PATH).collect()}
