@@ -2,8 +2,8 @@
 
 One pass reads the texts and keeps per row the rule metrics and, per line with words, a 64-bit hash of the normalised line
 (words joined by one space, lower case) and its word characters. From that table alone: distinct texts per host and line (exact
-copies of a text count once, each text's lines count once); the lines above the host's limit; and for each row the
-characters in such lines. A row most of whose characters are in such lines is depleted.
+copies of a text count once, each text's lines count once); the lines above the host's limit; and for each distinct text
+those it has. A second pass takes them out of these texts. A row that loses most of its characters is depleted.
 
 A frequent line's counts are combined before the shuffle. The table of frequent lines is written, so the planner knows
 its size and broadcasts it only if it is small.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 SPACES = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30  # words; percent of words in repeated windows
 MIN_DOCS, SHARE = 6, 0.0  # a line is frequent in more distinct texts of a host than both allow; the same for a host of any size
@@ -57,11 +58,11 @@ def metrics(text: Column) -> Column:
     """A struct of the rule metrics and the lines (h, c) of a text; null is empty."""
 
     def lines(parts: Column) -> Column:
-        return F.transform(F.filter(F.transform(parts, lambda p: words_of(p)), lambda w: F.size(w) > 0), lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.length(F.array_join(w, "")).alias("c")))
+        return F.transform(F.filter(F.transform(parts, lambda p: words_of(p)), lambda w: F.size(w) > 0), lambda w: F.struct(_line_key(w).alias("h"), F.length(F.array_join(w, "")).alias("c")))
 
     def with_words(w: Column, t: Column) -> Column:
         joined = F.array_join(w, "")
-        full = F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+        full = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(joined).cast("long").alias("word_chars"),
@@ -78,23 +79,49 @@ def line_quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, kept for every row
     of docs (doc_id, text, and the host column).
 
-    A null or empty text has no words and fails. A null host is a host of its own. Rows without doc_id and repeated rows
+    The frequent lines are taken out of the texts, as cleaned does; removed_chars are the word characters that a text loses
+    thereby. A null or empty text has no words and fails. A null host is a host of its own. Rows without doc_id and repeated rows
     are judged like any other. A line at exactly the limit stays. An empty table gives an empty result; other columns are
     ignored.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(host).cast("string")), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), metrics(text).alias("m"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", "text_key", "m.*"), "lines", spark)
+    rows = docs.select(F.col("doc_id"), _host(docs[host]), F.xxhash64(text).alias("text_key"), metrics(text).alias("m"))
+    rows = written(rows.select("doc_id", "host", "text_key", "m.*"), "lines", spark)
     frequent = _frequent(rows, min_docs, share, spark)
-    each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.c").alias("c"))
-    removed = each.join(frequent, ["host", "h"]).groupBy("row").agg(F.sum("c").alias("removed_chars"))
+    gone = _gone(rows, frequent)
+    texts = docs.select(_host(docs[host]), F.xxhash64(text).alias("text_key"), text.alias("text")).filter(F.col("text").isNotNull())
+    cut = texts.join(gone, ["host", "text_key"]).select("host", "text_key", _word_chars(_cut(F.col("text"), F.col("gone"))).alias("left_chars"))
+    left = written(cut.groupBy("host", "text_key").agg(F.first("left_chars").alias("left_chars")), "cut", spark)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    gone = F.coalesce("removed_chars", F.lit(0)).cast("long")
-    out = rows.drop("lines").join(removed, "row", "left").withColumn("removed_chars", gone).withColumn("base_failed", failed)
+    removed = F.col("word_chars") - F.coalesce("left_chars", "word_chars")
+    out = rows.drop("lines").join(left, ["host", "text_key"], "left").withColumn("removed_chars", removed).withColumn("base_failed", failed)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & (F.col("removed_chars") <= depleted * F.col("word_chars"))).alias("kept"))
 
 
+def _host(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), host.cast("string")), F.lit("")).alias("host")
+
+
+def _line_key(words: Column) -> Column:
+    return F.xxhash64(F.lower(F.array_join(words, " ")))
+
+
+def _word_chars(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, SPACES, "")).cast("long")
+
+
+def _cut(text: Column, gone: Column) -> Column:
+    """text without the lines whose keys are in gone; the others, blank ones too, in order."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda p: ~p.rlike(WORD) | ~F.array_contains(gone, _line_key(words_of(p)))), "\n")
+
+
+def _gone(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(host, text_key, gone): the keys of a text's frequent lines, for each distinct text that has any."""
+    each = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    return each.join(frequent, ["host", "h"]).groupBy("host", "text_key").agg(F.collect_set("h").alias("gone"))
+
+
 def _frequent(rows: DataFrame, min_docs: int, share: float, spark) -> DataFrame:
     """(host, h) of the lines above their host's limit, from rows (host, text_key, lines)."""
     texts = rows.groupBy("host", "text_key").agg(F.first(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("hashes"))
@@ -112,23 +139,16 @@ def cleaned(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
     """
     spark = docs.sparkSession
     text = docs["text"].cast("string")
-
-    def keys(t: Column) -> Column:
-        words = F.transform(F.split(t, "\n", -1), lambda p, i: F.struct(i.cast("int").alias("i"), words_of(p).alias("w")))
-        return F.transform(F.filter(words, lambda x: F.size(x["w"]) > 0), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(F.lower(F.array_join(x["w"], " "))).alias("h"), F.length(F.array_join(x["w"], "")).alias("c")))
-
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(F.concat(F.lit("s"), docs[host].cast("string")), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), keys(F.coalesce(text, F.lit(""))).alias("lines"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "lines", spark)
-    frequent = _frequent(rows, min_docs, share, spark)
-    each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.i").alias("i"), F.col("line.c").alias("c"))
-    gone = each.join(frequent, ["host", "h"]).groupBy("row").agg(F.array_sort(F.collect_list("i")).alias("gone"), F.sum("c").alias("chars"))
-    out = rows.join(written(gone, "gone", spark), "row", "left")
-    kept = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("gone", i.cast("int")))
-    new = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
+    keys = let(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda parts: F.transform(F.filter(parts, lambda p: p.rlike(WORD)), lambda p: F.struct(_line_key(words_of(p)).alias("h"))))
+    rows = written(docs.select(_host(docs[host]), F.xxhash64(text).alias("text_key"), keys.alias("lines")), "lines", spark)
+    gone = _gone(rows, _frequent(rows, min_docs, share, spark))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), _host(docs[host]), F.xxhash64(text).alias("text_key")).join(written(gone, "gone", spark), ["host", "text_key"], "left")
+    old = F.col("doc.text")
+    out = out.withColumn("new", F.when(F.col("gone").isNull(), old).otherwise(_cut(old.cast("string"), F.col("gone"))))
     if depleted is not None:
-        total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["c"])
-        out = out.filter(F.coalesce("chars", F.lit(0)) <= depleted * total)
-    return out.select(*[new.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+        total = _word_chars(old.cast("string"))
+        out = out.filter(F.col("gone").isNull() | (total - _word_chars(F.col("new")) <= depleted * total))
+    return out.select(*[F.col("new").alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def rule_counts(judged: DataFrame) -> DataFrame:

@@ -26,3 +26,18 @@ def test_driver_table_against_sql(spark):
     got = line_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
     assert (got.removed_chars > 0).sum() > 0
+
+
+def test_verdicts_come_from_the_cut_texts(spark, monkeypatch):
+    from paperloom.llm import linerules
+
+    notice = "  All Rights\tReserved by the owners of   this host "
+    rows = [(i, "\n".join([notice.upper() if i % 2 else notice, "", *(f"own{i} line{k} " * 9 for k in range(i % 4)), notice]), "h") for i in range(12)]
+    df = spark.createDataFrame([*rows, (20, None, "h"), (0, rows[0][1], "h")], "doc_id long, text string, source string")
+    chars = lambda t: len("".join((t or "").split()))
+    cut = {r.doc_id: r.text for r in linerules.cleaned(df, depleted=None).collect()}
+    before = {r.doc_id: r for r in line_quality(df).collect()}
+    assert {i: r.word_chars - r.removed_chars for i, r in before.items()} == {i: chars(t) for i, t in cut.items()}
+    assert before[0].removed_chars == 2 * chars(notice) and not before[0].kept
+    monkeypatch.setattr(linerules, "_cut", lambda text, gone: text)  # the operator takes the lines out; it doesn't count them instead
+    assert all(r.removed_chars == 0 for r in line_quality(df).collect())
