@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .text import U64, column, hash_spans, mix, slices
+from .text import U64, column, hash_spans, mix, slices, trim
 
 ALPHA = 2e-4
 LOCKSTEP = 4096  # bytes of a unit that advances with others
@@ -358,22 +358,28 @@ def _encode(path: str, alpha: float, seed: int, arrays: bool):
     names = ["doc_id", "n_bytes", "n_pieces", "ids" if arrays else "ids_sha256", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what earlier stages left in this worker
         m = model(path, alpha)
         for whole in batches:
-            for b in slices(whole, "text", CHUNK):
-                data, at = column(b.column(1))
-                ids, first = segment(m, data, at, _seeds(b.column(0).to_pylist(), seed))
-                back, to = join(m, ids, first)
-                if len(back) == len(data) and (to == at).all() and (back == data).all():
-                    same = [True] * b.num_rows
-                else:
-                    same = [back[to[i] : to[i + 1]].tobytes() == data[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
-                if arrays:
-                    out = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                else:
-                    raw = ids.astype("<i4")
-                    out = pa.array([hashlib.sha256(raw[first[i] : first[i + 1]].tobytes()).hexdigest() for i in range(b.num_rows)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(np.diff(first)), out, pa.array(same, pa.bool_())], names)
+            yield from parts(m, whole)
+            del whole
+            trim()
+
+    def parts(m: Model, whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in slices(whole, "text", CHUNK):
+            data, at = column(b.column(1))
+            ids, first = segment(m, data, at, _seeds(b.column(0).to_pylist(), seed))
+            back, to = join(m, ids, first)
+            if len(back) == len(data) and (to == at).all() and (back == data).all():
+                same = [True] * b.num_rows
+            else:
+                same = [back[to[i] : to[i + 1]].tobytes() == data[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
+            if arrays:
+                out = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            else:
+                raw = ids.astype("<i4")
+                out = pa.array([hashlib.sha256(raw[first[i] : first[i + 1]].tobytes()).hexdigest() for i in range(b.num_rows)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(np.diff(first)), out, pa.array(same, pa.bool_())], names)
 
     return run
 

@@ -7,6 +7,8 @@ Z/2^64 with a 64-bit finaliser; 64 bits stand for the word wherever sets or coun
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import zlib
 
 import numpy as np
@@ -132,6 +134,14 @@ def crc(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) for x in ids], np.int64)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. Workers are kept between tasks, and would hold their peak meanwhile."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if give:
+        give(0)
+
+
 def binaries(data: np.ndarray, at: np.ndarray) -> pa.Array:
     """A binary column from bytes and offsets."""
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -134,6 +134,26 @@ def test_units_met_before_are_not_built_again(monkeypatch):
     assert all([x.tolist() for x in pieces.segment(few, data, at, keys)] == a for _ in range(2)) and few.known is None
 
 
+def test_memory_of_a_worker():
+    import subprocess
+    import sys
+
+    code = f"""
+import re
+import pyarrow.parquet as pq
+from paperloom.llm import pieces
+mb = lambda k: int(re.search(k + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+batch = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).combine_chunks().to_batches()[0]
+pieces.model({PATH!r}, pieces.ALPHA)
+open("/proc/self/clear_refs", "w").write("5")  # the peak counts from here
+before = mb("VmRSS")
+rows = sum(len(x) for x in pieces._encode({PATH!r}, pieces.ALPHA, 1, True)(iter([batch])))
+print(rows, mb("VmHWM") - before)
+"""
+    rows, peak = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(rows) == 1000 and float(peak) < 90  # 150 with texts of 1 MB at a time
+
+
 def test_query_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r.doc_id: r for r in pieces.sample_pieces(docs, PATH).collect()}
