@@ -134,6 +134,44 @@ def test_units_met_before_are_not_built_again(monkeypatch):
     assert all([x.tolist() for x in pieces.segment(few, data, at, keys)] == a for _ in range(2)) and few.known is None
 
 
+def test_query_builds_few_units_of_later_batches(monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(pieces, "_made", {})
+    built, edges = [], pieces._edges
+    monkeypatch.setattr(pieces, "_edges", lambda m, data, stop: built.append(len(data)) or edges(m, data, stop))
+    batch = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).slice(0, 300).combine_chunks().to_batches()[0]
+    run, work, out = pieces._encode(PATH, pieces.ALPHA, 1, False), [], []
+    for _ in range(2):
+        built.clear()
+        out.append([r for b in run(iter([batch])) for r in b.to_pylist()])
+        work.append(sum(built))
+    assert out[0] == out[1] and len(out[0]) == 300
+    assert work[1] * 10 < work[0]
+
+
+def test_edges_against_a_dictionary():
+    table = {M.flat[s : s + n].tobytes(): int(i) for i, s, n in zip(M.ids, M.start[M.ids], M.size[M.ids])}
+    units = [x.encode() for x in (" the", " international", "   ", " 日本語é", " \u2581x\u0301", " zzzzzzzz", " \x00q", " Straße", " résumé😀")]
+    size = np.array([len(u) for u in units])
+    end = np.cumsum(size)
+    lattice = pieces.Lattice(M, np.frombuffer(b"".join(units), np.uint8), end - size, end)
+    for u, a in zip(units, (end - size).tolist()):
+        own = {k for k in range(len(u)) if (u[k] & 0xC0) != 0x80 and u[k : k + len(u[k:].decode()[0].encode())] in table}
+        bare = {k for h in range(len(u)) if (u[h] & 0xC0) != 0x80 and h not in own for k in range(h, h + len(u[h:].decode()[0].encode()))}
+        for v in range(len(u)):
+            want = [(n, table[u[v + 1 - n : v + 1]]) for n in range(1, v + 2) if u[v + 1 - n : v + 1] in table]
+            want += [(1, int(M.byte[u[v]]))] * (v in bare)
+            e = slice(lattice.first[a + v], lattice.first[a + v + 1])
+            assert list(zip(lattice.length[e].tolist(), lattice.piece[e].tolist())) == want
+    assert M.alike > 1  # pieces that share a slot of the table are told apart, too
+    k = np.flatnonzero(np.diff((M.hashes >> pieces.U64(44)).astype(np.int64)) == 0)[:20]
+    for i in M.ids[np.concatenate([k, k + 1])]:
+        data = M.flat[M.start[i] : M.start[i] + M.size[i]]
+        lattice = pieces.Lattice(M, data, np.array([0]), np.array([len(data)]))
+        assert i in lattice.piece[lattice.first[-2] :]
+
+
 def test_memory_of_a_worker():
     import subprocess
     import sys
