@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,14 +30,46 @@ def repaired(xml: str) -> str:
 
 
 def _tag(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2]
+    t = e.tag
+    return t.rpartition("}")[2] if t[0] == "{" else t
 
 
-def _int(e: ET.Element, name: str) -> int | None:
-    v = e.get(name)
+@lru_cache(1 << 16)
+def _number(v: str | None) -> int | None:
     return int(float(v)) if v and re.fullmatch(r"-?\d+(\.\d+)?", v) else None
 
 
+_FORMATS = ("bold", "italic", "underlined", "subsuperscript", "fontSize", "fontFace")
+_SIDES = ("l", "t", "r", "b")
+#: Words of a batch, at the least; documents stay whole
+BATCH = 1 << 13
+
+
+def _inherited(e: ET.Element | None, outer: tuple) -> tuple:
+    """The formats within an element: its own, else those around it."""
+    if e is None or not e.attrib:
+        return outer
+    get = e.attrib.get
+    return tuple([get(k, o) for k, o in zip(_FORMATS, outer)])
+
+
+@lru_cache(1 << 12)
+def _format(bold, italic, underlined, script, size, face) -> tuple:
+    return bold == "true", italic == "true", underlined not in (None, "none", "false"), script or "none", int(float(size)) if size else -1, face or ""
+
+
+def _columns(page: ET.Element) -> list[ET.Element]:
+    """The outermost columns and pictures of a page, in order; the page if there are none."""
+    out, stack = [], [page]
+    while stack:
+        e = stack.pop()
+        if _tag(e) in ("column", "dd"):
+            out.append(e)
+        else:
+            stack.extend(reversed(e))
+    return out or [page]
+
+
 def flatten(doc_id, xml: str | None) -> list[tuple]:
     """A row for each word. A line without runs is one run; a word with inner runs is one row a run. Formats are inherited
     from run, then line, then paragraph. Broken XML is an error that names the document."""
@@ -47,102 +80,110 @@ def flatten(doc_id, xml: str | None) -> list[tuple]:
     except ET.ParseError as e:
         raise ValueError(f"document {doc_id}: {e}") from None
     out: list[tuple] = []
-    fmt = ("bold", "italic", "underlined", "subsuperscript", "fontSize", "fontFace")
+    none = (None,) * len(_FORMATS)
 
     def words(line, at, kind, para):
+        head = (doc_id, *at[:2], kind, *at[2:])
+        tail = (para is not None and para.get("bullet") is not None, (para.get("alignment") if para is not None else None) or "left", _number(para.get("spaceBefore")) if para is not None else None)
+        sides = tuple([_number(line.get(k)) for k in _SIDES])
         run_no = word_no = 0
 
-        def put(text, e, chain):
+        def put(text, e, fmt):
             nonlocal word_no
-            get = lambda k: next((c.get(k) for c in chain if c is not None and c.get(k) is not None), None)
-            f = {k: get(k) for k in fmt}
-            size = f["fontSize"]
-            pos = lambda k: _int(e, k) if _int(e, k) is not None else _int(line, k)
-            out.append((doc_id, *at[:2], kind, *at[2:], run_no, word_no, text, pos("l"), pos("t"), pos("r"), pos("b"), f["bold"] == "true", f["italic"] == "true", f["underlined"] not in (None, "none", "false"), f["subsuperscript"] or "none", int(float(size)) if size else -1, f["fontFace"] or "", para is not None and para.get("bullet") is not None, (para.get("alignment") if para is not None else None) or "left", _int(para, "spaceBefore") if para is not None else None))
+            own = sides
+            if e.attrib:
+                own = tuple([s if (v := _number(e.get(k))) is None else v for k, s in zip(_SIDES, sides)])
+            out.append((*head, run_no, word_no, text, *own, *_format(*fmt), *tail))
             word_no += 1
 
-        def visit(node, chain):
+        def visit(node, fmt):
             nonlocal run_no
             for e in node:
                 name = _tag(e)
                 if name == "wd":
-                    inner = [x for x in e if _tag(x) == "run"]
-                    if inner:
+                    if not len(e):
+                        put((e.text or "").strip(), e, fmt)
+                    elif inner := [x for x in e if _tag(x) == "run"]:
                         for x in inner:
                             run_no += 1
-                            put("".join(x.itertext()).strip(), e, [x, *chain])
+                            put("".join(x.itertext()).strip(), e, _inherited(x, fmt))
                     else:
-                        put("".join(e.itertext()).strip(), e, chain)
+                        put("".join(e.itertext()).strip(), e, fmt)
                 elif name == "run":
                     run_no += 1
-                    before = word_no
-                    visit(e, [e, *chain])
+                    before, mine = word_no, _inherited(e, fmt)
+                    visit(e, mine)
                     if word_no == before and (e.text or "").strip():
                         for w in e.text.split():
-                            put(w, e, [e, *chain])
-        visit(line, [line, para])
+                            put(w, e, mine)
+        visit(line, _inherited(line, _inherited(para, none)))
 
     def lines(node, page, col, counter, kind, para):
         for e in node:
             name = _tag(e)
             if name == "para":
                 counter[0] += 1
-                ln = [-1]
+                ln = -1
                 for x in e:
                     if _tag(x) == "ln":
-                        ln[0] += 1
-                        words(x, (page, col, counter[0], ln[0]), kind, e)
+                        ln += 1
+                        words(x, (page, col, counter[0], ln), kind, e)
             elif name == "ln":
                 counter[0] += 1
                 words(e, (page, col, counter[0], 0), kind, para)
             elif name in ("table", "frame", "dd", "cell", "section", "body", "column"):
                 lines(e, page, col, counter, {"table": "table", "frame": "frame", "dd": "picture"}.get(name, kind), para)
 
-    for p, page in enumerate(x for x in root.iter() if _tag(x) == "page"):
-        columns = [x for x in page.iter() if _tag(x) in ("column", "dd")] or [page]
-        nested = {id(y) for x in columns for y in x.iter() if y is not x}
-        for c, column in enumerate(x for x in columns if id(x) not in nested):
+    for p, page in enumerate([x for x in root.iter() if _tag(x) == "page"]):
+        for c, column in enumerate(_columns(page)):
             lines(column, p, c, [-1], "picture" if _tag(column) == "dd" else "text", None)
     return out
 
 
+def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, xml) to batches of words. Small documents share one."""
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+    rows: list[tuple] = []
+    for b in batches:
+        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows += flatten(i, x)
+            if len(rows) >= BATCH:
+                yield made(rows)
+                rows = []
+    if rows:
+        yield made(rows)
+
+
 def layout_words(docs: DataFrame) -> DataFrame:
     """docs (doc_id, xml) to a row a word."""
     ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = flatten(i, x)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-    return docs.select("doc_id", "xml").mapInArrow(run, WORDS)
+    return docs.select("doc_id", "xml").mapInArrow(word_batches, WORDS)
 
 
 def layout_lines(words: DataFrame) -> DataFrame:
     """A row a line: text, place, size and face by most words (ties: the larger), bold and italic by 0.667 of words. In a
-    picture formats are masked."""
+    picture formats are masked. The words are moved once; what is most frequent is found within a line's row."""
     key = ["doc_id", *LINE]
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ").alias("text")
     pic = F.max((F.col("kind") == "picture").cast("int")) == 1
     share = lambda c: F.avg(F.col(c).cast("double"))
     yes = lambda c: F.when(pic, "no").when(share(c) >= 0.667, "yes").otherwise("no")
-    base = words.groupBy(*key).agg(text, F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), yes("bold").alias("bold"), yes("italic").alias("italic"), F.when(pic, "yes").otherwise("no").alias("pic"), F.when(F.max((F.col("kind") == "table").cast("int")) == 1, "yes").otherwise("no").alias("table"), F.when(F.max(F.col("bullet").cast("int")) == 1, "yes").otherwise("no").alias("bullet"), F.first("align").alias("align"))
-    size = T.weighted_mode(words, key, "font_size", F.lit(1)).drop("weight")
-    face = T.weighted_mode(words, key, "font_face", F.lit(1)).drop("weight")
-    out = base.join(size, key).join(face, key)
-    return out.withColumn("font_size", F.when(F.col("pic") == "yes", -1).otherwise(F.col("font_size"))).withColumn("font_face", F.when(F.col("pic") == "yes", "none").otherwise(F.col("font_face")))
+    out = words.dropna(subset=key).groupBy(*key).agg(F.collect_list(F.struct("word", "text", "font_size", "font_face")).alias("__w"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"), yes("bold").alias("bold"), yes("italic").alias("italic"), F.when(pic, "yes").otherwise("no").alias("pic"), F.when(F.max((F.col("kind") == "table").cast("int")) == 1, "yes").otherwise("no").alias("table"), F.when(F.max(F.col("bullet").cast("int")) == 1, "yes").otherwise("no").alias("bullet"), F.first("align").alias("align"))
+    kinds = dict(words.dtypes)
+    text = F.array_join(F.transform(F.array_sort("__w"), lambda x: x["text"]), " ")
+    usual = lambda c, masked: F.when(F.col("pic") == "yes", masked).otherwise(T.mode_of(F.transform("__w", lambda x: x[c]), kinds[c]))
+    return out.select(*key, text.alias("text"), *[c for c in out.columns if c not in (*key, "__w")], usual("font_size", -1).alias("font_size"), usual("font_face", "none").alias("font_face"))
 
 
 def layout_features(lines: DataFrame, bins: int = 8) -> DataFrame:
     """lines with line_no, place on the page in bins, size against the document's most frequent, and what changes from the
-    line before: size, face, bold, italic, align, paragraph."""
-    w = Window.partitionBy("doc_id").orderBy(*LINE)
-    lines = lines.withColumn("line_no", F.row_number().over(w) - 1)
-    lines = T.vertical_bins(lines, "doc_id", "t", bins).withColumnRenamed("bin", "loc")
-    usual = T.weighted_mode(lines.filter("font_size > 0"), ["doc_id"], "font_size", F.lit(1)).select("doc_id", F.col("font_size").alias("usual"))
-    lines = lines.join(usual, "doc_id", "left").withColumn("size_class", F.when(F.col("font_size") < F.col("usual"), "smaller").when(F.col("font_size") > F.col("usual"), "larger").otherwise("common")).drop("usual")
+    line before: size, face, bold, italic, align, paragraph. All of it in windows by document, so lines are made and moved once."""
+    doc = Window.partitionBy("doc_id")
+    lines = T.vertical_bins(lines, "doc_id", "t", bins).withColumnRenamed("bin", "loc")  # first, for the others keep its partitions
+    same = F.count("*").over(Window.partitionBy("doc_id", "font_size"))
+    lines = lines.withColumn("__n", F.when(F.col("font_size") > 0, F.struct(same.alias("n"), "font_size")))
+    lines = lines.withColumn("__usual", F.max("__n").over(doc)["font_size"])
+    lines = lines.withColumn("line_no", F.row_number().over(doc.orderBy(*LINE)) - 1)
+    lines = lines.withColumn("size_class", F.when(F.col("font_size") < F.col("__usual"), "smaller").when(F.col("font_size") > F.col("__usual"), "larger").otherwise("common")).drop("__n", "__usual")
     lines = lines.withColumn("paragraph", F.struct("page", "col", "para"))
     return T.changes(lines, "doc_id", LINE, ["font_size", "font_face", "bold", "italic", "align", "paragraph"]).drop("paragraph")
 
