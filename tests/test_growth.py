@@ -31,6 +31,11 @@ def test_layout_features_make_and_move_their_lines_once(spark):
     assert [(r.line_no, r["loc"], r.size_class, r.font_size_diff) for r in rows[:3]] == [(0, 0, "common", "new"), (1, 3, "smaller", "new"), (2, 7, "common", "new")]
 
 
+def test_layout_lines_move_their_words_once(spark):
+    lines = L.layout_lines(L.layout_words(pages(spark, 3)))
+    assert plan(lines).count("MapInArrow") == 1 and "Join" not in plan(lines) and moves(lines) == 1
+
+
 def test_small_documents_share_a_batch():
     docs = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "xml": [PAGE.format("<ln><wd>a</wd><wd>b</wd></ln>")] * 500})
     assert [b.num_rows for b in L.word_batches(iter([docs, docs]))] == [2000]
