@@ -36,6 +36,12 @@ def test_layout_lines_move_their_words_once(spark):
     assert plan(lines).count("MapInArrow") == 1 and "Join" not in plan(lines) and moves(lines) == 1
 
 
+def test_a_range_of_lines_moves_only_its_words(spark):
+    out = L.line_range(L.layout_lines(L.layout_words(pages(spark, 3, 9))), (0, 0, 0, 2), (0, 0, 0, 5)).select("doc_id", "ln")
+    assert plan(out).count("MapInArrow") == 1 and "Join" not in plan(out) and moves(out) == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(i, j) for i in range(3) for j in range(2, 6)]
+
+
 def test_small_documents_share_a_batch():
     docs = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "xml": [PAGE.format("<ln><wd>a</wd><wd>b</wd></ln>")] * 500})
     assert [b.num_rows for b in L.word_batches(iter([docs, docs]))] == [2000]
