@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tables as T
@@ -214,16 +214,23 @@ def spacing(lines: DataFrame, key: str, gap: str) -> DataFrame:
 
 
 def simplified(words: DataFrame) -> DataFrame:
-    """doc_id, markup: pages, paragraphs, lines and words in plain elements."""
+    """doc_id, markup: pages, paragraphs, lines and words in plain elements, from one sorted list of a document's words."""
     from ..functions.normalize import xml_escape
 
-    line = words.groupBy("doc_id", *LINE).agg(F.concat(F.lit("<line>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: F.concat(F.lit("<word>"), xml_escape(x["text"]), F.lit("</word>"))), ""), F.lit("</line>")).alias("x"))
+    word = F.coalesce(F.concat(F.lit("<word>"), xml_escape(F.col("text")), F.lit("</word>")), F.lit("")).alias("x")
+    docs = words.select("doc_id", F.struct(*LINE, "word", word).alias("w")).groupBy("doc_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
 
-    def wrap(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        order = [k for k in LINE if k in df.columns and k not in keys]
-        return df.groupBy("doc_id", *keys).agg(F.concat(F.lit(f"<{tag}>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "x"))), lambda s: s["x"]), ""), F.lit(f"</{tag}>")).alias("x"))
+    def opened(x: Column, i: Column, w: Column) -> Column:
+        """The word, behind the ends and beginnings that part it from the word before."""
+        change = lambda n, ends, begins: (~(F.struct(*[x[c] for c in LINE[:n]]) == F.struct(*[F.get(w, i - 1)[c] for c in LINE[:n]])), ends + begins)
+        levels = (change(1, "</line></para></page>", "<page><para><line>"), change(3, "</line></para>", "<para><line>"), change(4, "</line>", "<line>"))
+        tags = F.when(i == 0, "<page><para><line>")
+        for differs, between in levels:
+            tags = tags.when(differs, between)
+        return F.concat(tags.otherwise(""), x["x"])
 
-    return wrap(wrap(wrap(line, ["page", "col", "para"], "para"), ["page"], "page"), [], "document").select("doc_id", F.col("x").alias("markup"))
+    body = F.array_join(F.transform("w", lambda x, i: opened(x, i, F.col("w"))), "")
+    return docs.select("doc_id", F.concat(F.lit("<document>"), body, F.lit("</line></para></page></document>")).alias("markup"))
 
 
 def table_grid(cells: DataFrame) -> DataFrame:

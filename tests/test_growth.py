@@ -51,3 +51,11 @@ def test_mode_of(spark):
     rows = spark.createDataFrame([(1, [3, 1, 3, 1, 2]), (2, [None, None, 1]), (3, [None, 1]), (4, []), (5, [7])], "k int, v array<int>")
     got = {r.k: r.m for r in rows.select("k", T.mode_of(F.col("v"), "int").alias("m")).collect()}
     assert got == {1: 3, 2: None, 3: 1, 4: None, 5: 7}
+
+
+def test_markup_moves_words_once(spark):
+    words = L.layout_words(spark.createDataFrame([(1, PAGE.format("<ln><wd>a</wd></ln><ln><wd>&lt;</wd></ln>").replace("</para>", "</para><para><ln><wd>c</wd></ln></para>") * 2)], "doc_id long, xml string"))
+    out = L.simplified(words)
+    assert moves(out) == 1
+    page = "<page><para><line><word>a</word></line><line><word>&lt;</word></line></para><para><line><word>c</word></line></para></page>"
+    assert out.first().markup == f"<document>{page}{page}</document>"
