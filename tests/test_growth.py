@@ -1,7 +1,9 @@
 """Steps whose time or memory must grow no faster than their input: what is moved how often, and the same results."""
 
 import pyarrow as pa
+import pytest
 
+from paperloom.operators import crf, features, pipelines, training
 from paperloom.operators import layout as L
 from paperloom.operators import tables as T
 from pyspark.sql import functions as F
@@ -59,3 +61,27 @@ def test_markup_moves_words_once(spark):
     assert moves(out) == 1
     page = "<page><para><line><word>a</word></line><line><word>&lt;</word></line></para><para><line><word>c</word></line></para></page>"
     assert out.first().markup == f"<document>{page}{page}</document>"
+
+
+@pytest.mark.parametrize("model, make, rows", [(training.citation_model, training.reference, features.token_rows), (training.section_model, training.paper, features.line_rows)])
+def test_sequences_side_by_side_are_labelled_alike(model, make, rows, monkeypatch):
+    m = model()
+    seqs = [rows([x for x, _ in s]) for s in training.seeded(make, 25, 77)] + [[], rows(["x"]), rows(["A:b/c", "ü", "1999."])]
+    monkeypatch.setattr(crf, "ROWS", 100)
+    want = [m.label(s) for s in seqs]
+    assert m.label_all(seqs) == want
+    assert [y for y, _ in m.label_all(seqs, confident=False)] == [y for y, _ in want]
+
+
+def test_equal_references_of_a_batch_are_decoded_once():
+    seen = []
+
+    def rows(items):
+        seen.append(items)
+        return features.token_rows(items)
+
+    lists = [["A.", "Berg,", "1999."], None, ["", "x"], ["A.", "Berg,", "1999."]]
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "items": lists})
+    out = next(pipelines._labeller(training.citation_model(), rows, " ", False)(iter([batch]))).to_pydict()
+    assert seen == [["A.", "Berg,", "1999."], [], ["x"]] and out["k"] == [1, 2, 3, 4] and out["runs"][0] == out["runs"][3] != [] and out["runs"][1] == []
+    assert sum(len(r["content"].split()) for r in out["runs"][0]) == 3 and all(0 < r["confidence"] <= 1 for r in out["runs"][0])
