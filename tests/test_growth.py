@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from paperloom.operators import affiliations as A
 from paperloom.operators import crf, features, pipelines, training
 from paperloom.operators import layout as L
 from paperloom.operators import tables as T
@@ -85,3 +86,15 @@ def test_equal_references_of_a_batch_are_decoded_once():
     out = next(pipelines._labeller(training.citation_model(), rows, " ", False)(iter([batch]))).to_pydict()
     assert seen == [["A.", "Berg,", "1999."], [], ["x"]] and out["k"] == [1, 2, 3, 4] and out["runs"][0] == out["runs"][3] != [] and out["runs"][1] == []
     assert sum(len(r["content"].split()) for r in out["runs"][0]) == 3 and all(0 < r["confidence"] <= 1 for r in out["runs"][0])
+
+
+def test_pairs_are_neither_moved_nor_sorted(spark):
+    s = "doc_id int, {0}_no int, {0} string, signals array<string>, page int, section int, para int, line int, x double, y double"
+    authors = spark.createDataFrame([(1, j, "a", [str(j % 3)], 0, 0, 0, 0, float(j), float(j)) for j in range(600)], s.format("author"))
+    affs = spark.createDataFrame([(1, j, "b", [str(j % 4)], 0, 0, 1, 0, float(j), 100.0 * j) for j in range(4)], s.format("affiliation"))
+    out = A.match_affiliations(authors, affs)
+    top = plan(out).split("Join")[0]  # what stands above the last join
+    assert not any(x in top for x in ("Exchange", "Window", "Sort "))
+    rows = out.collect()
+    assert len(rows) == 2400 and {r.affiliation_no for r in rows if r.label == "yes"} == {0, 1, 2}
+    assert all((r.label == "yes") == (r.author_no % 3 == r.affiliation_no % 4) for r in rows)
