@@ -86,22 +86,25 @@ def reference_lines_by_count(lines: DataFrame) -> DataFrame:
 
 def position_map(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, norm_no, orig_no, word: for every word of normal_body(text) the word of the text that it comes from. A word
-    broken by a hyphen at a line's end is its first half's; all numbers of an expanded range are their bracket's."""
+    broken by a hyphen at a line's end is its first half's; all numbers of an expanded range are their bracket's. All within
+    the document's row, in time linear in its words."""
     # the original's words; a break within a normalised word leaves a continuation, a bracket with a range is taken whole
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[\x09\x0B-\x0D\x20]+", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\n+", "\n"), r"([A-Za-z])-\n", "$1\u0000")
     flat = F.trim(F.regexp_replace(t, X.BLANK, " "))
     unit = r"(?:[^\x09-\x0D\x20\[]++|\[[0-9]+(?:[,;-]\x20*[0-9]+)*\]|\[)++"
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(flat, F.lit(unit), 0)).alias("u", "raw"))
-    # how many original words a unit has, and what it becomes
-    parts = F.size(F.regexp_extract_all("raw", F.lit(r"[^\x20\x00]+"), 0))
-    rows = rows.select("doc_id", "u", parts.alias("n"), D.expand_ranges(F.replace("raw", F.lit("\u0000"), F.lit(""))).alias("made"))
-    first = F.coalesce(F.sum("n").over(_doc().orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("first", first)
-    rows = rows.select("doc_id", "u", "n", "first", F.size(X.tokens(F.col("made"))).alias("m"), F.posexplode(X.tokens(F.col("made"))).alias("j", "word"))
-    rows = rows.withColumn("norm_no", F.row_number().over(_doc().orderBy("u", "j")) - 1)
+    # of each unit how many original words it has, and the words it becomes
+    made = lambda raw: X.tokens(D.expand_ranges(F.replace(raw, F.lit("\u0000"), F.lit(""))))
+    units = F.transform(F.regexp_extract_all(flat, F.lit(unit), 0), lambda raw: F.struct(F.size(F.regexp_extract_all(raw, F.lit(r"[^\x20\x00]+"), 0)).alias("n"), made(raw).alias("made")))
+
+    def words(units: Column) -> Column:
+        # a mark before each unit's original words: the place of the mark u, less the u marks before it, is where they begin
+        marks = F.flatten(F.transform(units, lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x["n"]))))
+        first = F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+        return let(first, lambda first: F.flatten(F.transform(units, lambda x, u: let(F.get(first, u) - u, lambda at: let(F.size(x["made"]) == x["n"], lambda kept: F.transform(x["made"], lambda w, j: F.struct((at + F.when(kept, j).otherwise(0)).cast("int").alias("orig_no"), w.alias("word"))))))))
+
     # words of a unit that nothing was done to keep their places
-    return rows.select("doc_id", "norm_no", (F.col("first") + F.when(F.col("m") == F.col("n"), F.col("j")).otherwise(0)).cast("int").alias("orig_no"), "word")
+    return docs.select("doc_id", F.posexplode(let(units, words)).alias("norm_no", "w")).select("doc_id", "norm_no", "w.orig_no", "w.word")
 
 
 def keyword_features(lines: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:

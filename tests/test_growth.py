@@ -6,6 +6,7 @@ import pytest
 from paperloom.operators import affiliations as A
 from paperloom.operators import crf, features, pipelines, training
 from paperloom.operators import layout as L
+from paperloom.operators import regions as R
 from paperloom.operators import tables as T
 from pyspark.sql import functions as F
 
@@ -98,3 +99,10 @@ def test_pairs_are_neither_moved_nor_sorted(spark):
     rows = out.collect()
     assert len(rows) == 2400 and {r.affiliation_no for r in rows if r.label == "yes"} == {0, 1, 2}
     assert all((r.label == "yes") == (r.author_no % 3 == r.affiliation_no % 4) for r in rows)
+
+
+def test_position_map_stays_in_its_row(spark):
+    docs = spark.createDataFrame([(1, "a be-\nta [3, 5-6].\nx")], "doc_id long, text string")
+    out = R.position_map(docs)
+    assert not any(x in plan(out) for x in ("Exchange", "Window", "Sort "))
+    assert [tuple(r)[1:] for r in out.collect()] == [(0, 0, "a"), (1, 1, "beta"), (2, 3, "[3,"), (3, 3, "5,"), (4, 3, "6]."), (5, 5, "x")]
